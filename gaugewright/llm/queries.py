@@ -45,7 +45,7 @@ ORACLE_SQL = {
         rows AS (
             SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
                    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 4294967295 - list_reduce(
-                       [4294967295::BIGINT] || list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\1,', 'g'), ','), ','), lambda x: ('0x' || x)::BIGINT),
+                       [4294967295::BIGINT] || list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\\1,', 'g'), ','), ','), lambda x: ('0x' || x)::BIGINT),
                        lambda acc, x: xor(acc >> 8, t[1 + (xor(acc, x) & 255)])) END AS text_crc32,
                    ((doc_id::HUGEINT * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592 AS spread
             FROM documents, crc_table
