@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewright.llm import exact_dedup, sharding
+from gaugewright.llm import exact_dedup, language_id, near_dedup, packing, piece_codec, sharding
 from gaugewright.session import table
 
 
@@ -16,7 +16,31 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, separator=0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op4_packing": op4_packing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_sharding": op9_sharding,
 }
@@ -31,6 +55,33 @@ def _crc32_table() -> str:
 
 
 ORACLE_SQL = {
+    "op2_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ),
+        sets AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id
+            JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+            GROUP BY x.doc_id, y.doc_id, p.n, q.n
+            HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+        ),
+        reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+        FROM documents d LEFT JOIN sizes USING (doc_id)
+        JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) USING (doc_id)
+    """,
     "op9_sharding": f"""
         WITH RECURSIVE crc_table AS (SELECT {_crc32_table()} AS t),
         jump(doc_id, state, j) AS (
