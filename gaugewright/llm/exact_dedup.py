@@ -20,11 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.llm.prefilter import build_filter, passing
 from gaugewright.session import materialize
 
-#: The filter's bits: 2 MB, whatever the number of rows. More hits make it let more rows pass, which costs time only.
-FILTER_BITS = 1 << 24
-
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -62,26 +60,6 @@ def digest_index(rows: DataFrame, memtables: int = 16, fan_in: int = 4) -> DataF
     return runs.drop("_run")
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def build_filter(digests: DataFrame) -> DataFrame:
-    """Bitmaps of 32,768 bits by number: at most FILTER_BITS / 8 bytes in all."""
-    bit = _bit(F.col("_digest"))
-    return digests.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap"))
-
-
-def passing(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Rows whose digest the filter may hold. The filter's size is bounded, so it is broadcast."""
-    bit = _bit(F.col("_digest"))
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) > 0
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmaps), "_bucket")
-    return joined.where(held).drop("_bucket", "_bitmap")
-
-
 def exact_duplicates(
     docs: DataFrame,
     *,
@@ -105,7 +83,7 @@ def exact_duplicates(
     index = digest_index(slim, memtables, fan_in)
     shared = materialize(index.where("_n > 1").select("_digest"), "lsm-shared")
 
-    hits = materialize(passing(scan, build_filter(shared)).join(shared, "_digest", "left_semi"), "lsm-hits")
+    hits = materialize(passing(scan, build_filter(shared, "_digest"), "_digest").join(shared, "_digest"), "lsm-hits")
     verified = materialize(hits.groupBy("_digest", "_text").agg(F.min("_ident").alias("_keep"), F.count(F.lit(1)).alias("_n")), "lsm-verified")
     together = hits.join(verified, ["_digest", "_text"]).select("_ident", "_digest", "_keep", "_n")
     alone = slim.join(shared, "_digest", "left_anti").select("_ident", "_digest", F.col("_ident").alias("_keep"), F.lit(1).cast("long").alias("_n"))
