@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.prefilter import build_filter, passing
+from gaugewright.llm.prefilter import build_filter, passing, without
 from gaugewright.session import materialize
 
 
@@ -98,5 +98,5 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", **how) -> DataFrame:
     """``docs`` without the rows of which another row with the same text stays."""
-    dropped = exact_duplicates(docs, id_col=id_col, text_col=text_col, keep=keep, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    dropped = exact_duplicates(docs, id_col=id_col, text_col=text_col, keep=keep, **how).where(~F.col("kept")).select("doc_id")
+    return without(docs, materialize(dropped, "lsm-dropped"), id_col)

@@ -19,14 +19,31 @@ def build_filter(keys: DataFrame, column: str) -> DataFrame:
     return keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap"))
 
 
+def _held(bitmap: Column, key: Column) -> Column:
+    at = F.bitmap_bit_position(_bit(key))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) > 0
+
+
 def passing(rows: DataFrame, bitmaps: DataFrame, column: str) -> DataFrame:
     """Rows whose key the filter may hold. The filter's size is bounded, so it is broadcast.
 
     An exact inner join must follow. (The optimizer moves a semi join below this one, which then saves nothing.)
     """
-    bit = _bit(F.col(column))
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) > 0
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmaps), "_bucket")
-    return joined.where(held).drop("_bucket", "_bitmap")
+    key = rows[column]
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(_bit(key))).join(F.broadcast(bitmaps), "_bucket")
+    return joined.where(_held(F.col("_bitmap"), F.col(column))).drop("_bucket", "_bitmap")
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` but for those whose key is in ``keys`` (one column, a written table); only rows that the filter holds are shuffled."""
+    name = keys.columns[0]
+    bitmaps = build_filter(keys, name).select(F.col("_bucket").alias("_gw_bucket"), F.col("_bitmap").alias("_gw_bitmap"))
+    bucket = F.bitmap_bucket_number(_bit(rows[column]))
+    marked = rows.join(F.broadcast(bitmaps), bucket == F.col("_gw_bucket"), "left")
+    held = F.coalesce(_held(F.col("_gw_bitmap"), rows[column]), F.lit(False))
+    sure = marked.where(~held).select(*[rows[c] for c in rows.columns])
+    maybe = marked.where(held).select(*[rows[c] for c in rows.columns])
+    gone = keys.select(F.col(name).alias("_gw_key"), F.lit(True).alias("_gw_gone")).distinct()
+    rest = maybe.join(gone, maybe[column] == F.col("_gw_key"), "left").where(F.col("_gw_gone").isNull()).select(*[maybe[c] for c in rows.columns])
+    return sure.unionByName(rest)

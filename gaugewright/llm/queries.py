@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewright.llm import exact_dedup, language_id, near_dedup, packing, piece_codec, sharding
+from gaugewright.llm import exact_dedup, html_text, language_id, near_dedup, packing, piece_codec, quotations, sharding, top_k, warc
 from gaugewright.session import table
 
 
@@ -36,7 +36,27 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), spark, revisit_bytes=0)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search_table(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op5_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_order(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op5_quotations": op5_quotations,
+    "op1_top_k": op1_top_k,
+    "op10_html_text": op10_html_text,
+    "op8_warc": op8_warc,
     "op2_near_dedup": op2_near_dedup,
     "op7_language_id": op7_language_id,
     "op4_packing": op4_packing,
@@ -55,6 +75,58 @@ def _crc32_table() -> str:
 
 
 ORACLE_SQL = {
+    "op1_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 20
+    """,
+    "op5_quotations": r"""
+        WITH lines AS (
+            SELECT conv_id, turn, k, line, regexp_extract(line, '^(?:[ \t]*>)*') AS marks,
+                   lower(trim(regexp_replace(regexp_replace(line, '^([ \t]*>)+[ \t]?', ''), '\s+', ' ', 'g'))) AS plain,
+                   coalesce(lead(line) OVER (PARTITION BY conv_id, turn ORDER BY k), '') AS next
+            FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM conversations)
+        ),
+        levels AS (SELECT *, length(marks) - length(replace(marks, '>', '')) AS level FROM lines),
+        origins AS (SELECT conv_id, plain, min(turn) AS source FROM levels WHERE level = 0 AND plain <> '' GROUP BY ALL),
+        links AS (
+            SELECT q.conv_id, q.turn, level, source, sum(length(plain)) AS chars FROM levels q JOIN origins USING (conv_id, plain)
+            WHERE level > 0 AND source < q.turn GROUP BY ALL
+        ),
+        parents AS (SELECT conv_id, turn, last(source ORDER BY -level, chars, source) AS parent FROM links GROUP BY ALL),
+        own AS (
+            SELECT conv_id, turn, count(*) FILTER (regexp_matches(line, '^[ \t]*>')) AS n_quoted,
+                   regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT regexp_matches(line, '^[ \t]*>') AND NOT (regexp_matches(line, '(?i)^[ \t]*(on|am|le|el)\b.*\b(wrote|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$') AND regexp_matches(next, '^[ \t]*>'))), ''), '^\s+|\s+$', '', 'g') AS text
+            FROM lines GROUP BY ALL
+        ),
+        paths AS (
+            WITH RECURSIVE up(conv_id, turn, node, path) AS (
+                SELECT conv_id, turn, turn, [turn] FROM conversations
+                UNION ALL
+                SELECT up.conv_id, up.turn, parent, list_prepend(parent, path) FROM up JOIN parents ON parents.conv_id = up.conv_id AND parents.turn = up.node
+            )
+            SELECT conv_id, turn, last(path ORDER BY len(path)) AS path FROM up GROUP BY ALL
+        )
+        SELECT c.conv_id, c.turn, role, own.text, n_quoted, parent AS parent_turn, len(path) - 1 AS depth,
+               row_number() OVER (PARTITION BY c.conv_id ORDER BY path, role) - 1 AS position
+        FROM conversations c JOIN own USING (conv_id, turn) JOIN paths USING (conv_id, turn) LEFT JOIN parents USING (conv_id, turn)
+    """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        bits AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper, list_transform(range(1, 41, 5), lambda k: ('0x' || h[k:k + 4])::BIGINT) AS words FROM p)
+        SELECT page_id, n AS payload_bytes,
+               array_to_string(list_transform(words, lambda w: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((w >> s) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM bits
+    """,
     "op2_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
