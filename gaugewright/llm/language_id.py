@@ -18,6 +18,7 @@ out and never trained on; further columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from gaugewright.llm.hashing import MULTIPLY, STEP, SpanHasher, U, mixed
 
 ORDER = 5
 #: Rows of each language that are learned from, about.
-PER_LANGUAGE = 4000
+PER_LANGUAGE = 1500
 #: Largest model that is broadcast, in bytes.
 MODEL_BYTES = 256 << 20
 #: Words whose scores a worker keeps.
@@ -98,7 +99,7 @@ def gram_hashes(codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
-def padded(words: list[np.ndarray] | None, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words one after another, each with ORDER - 1 edges before and an end after it; the places to predict; the word of each place."""
     lengths = ends - starts
     width = lengths + ORDER
@@ -131,7 +132,7 @@ class Model:
 
     def word_scores(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural-log probability of each word, its end included, under each language."""
-        flat, place, owner = padded(None, codes, starts, ends)
+        flat, place, owner = padded(codes, starts, ends)
         p = np.full((len(place), len(self.languages)), self.uniform)
         context = np.broadcast_to(self.start, p.shape)
         for order in range(1, ORDER + 1):
@@ -151,57 +152,55 @@ class Model:
         return out
 
 
-def train_model(counts: list[tuple[str, str, int]]) -> Model:
-    """A model from (language, word, count) rows, words lower-cased and made of letters."""
-    by: dict[str, list[tuple[str, int]]] = {}
-    for language, word, n in counts:
-        by.setdefault(language, []).append((word, n))
-    languages = sorted(by)
-    alphabet = {c for _, w, _ in counts for c in w}
-    uniform = 1.0 / (len(alphabet) + 2)
-    parts: list[list[tuple[np.ndarray, np.ndarray, dict]]] = [[] for _ in range(ORDER)]
-    start = np.ones(len(languages))
-    for k, language in enumerate(languages):
-        joined = "".join(w for w, _ in by[language])
-        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        lengths = np.array([len(w) for w, _ in by[language]])
-        ends = np.cumsum(lengths)
-        flat, place, owner = padded(None, codes, ends - lengths, ends)
-        weights = np.array([n for _, n in by[language]], dtype=np.float64)[owner]
-        # of each order, top down: distinct n-grams with a place of each, and their counts
-        distinct: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at, weight = place, weights
-        for order in range(ORDER, 0, -1):
-            h, where, inverse = np.unique(gram_hashes(flat, at, order), return_index=True, return_inverse=True)
-            number = np.bincount(inverse, weights=weight)
-            at = at[where]
-            distinct.append((h, at, number))
-            weight = np.ones(len(at))  # lower orders count in how many distinct longer n-grams they end
-        lower_contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for order, (h, at, number) in zip(range(ORDER, 0, -1), distinct, strict=True):
-            once, twice = (number == 1).sum(), (number == 2).sum()
-            discount = once / (once + 2 * twice) if once and twice else 0.5
-            context = gram_hashes(flat, at - 1, order - 1) if order > 1 else np.zeros(len(at), dtype=U)
-            names, inverse = np.unique(context, return_inverse=True)
-            total = np.bincount(inverse, weights=number)
-            parts[order - 1].append((h, np.maximum(number - discount, 0) / total[inverse], {"k": k}))
-            spread = discount * np.bincount(inverse) / total
-            if order == 1:
-                start[k] = spread[0] if len(spread) else 1.0
-            else:
-                lower_contexts[order - 1] = (names, spread)
-        for order, (names, spread) in lower_contexts.items():
-            parts[order - 1].append((names, spread, {"k": k, "weight": True}))
+def language_part(words: list[str], counts: list[int]) -> dict:
+    """What one language adds to a model: by order, n-gram hashes with discounted probabilities, and contexts with their weights."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.array([len(w) for w in words])
+    ends = np.cumsum(lengths)
+    flat, at, owner = padded(codes, ends - lengths, ends)
+    weight = np.array(counts, dtype=np.float64)[owner]
+    part: dict = {"letters": np.unique(codes), "grams": {}, "contexts": {}}
+    for order in range(ORDER, 0, -1):
+        h, where, inverse = np.unique(gram_hashes(flat, at, order), return_index=True, return_inverse=True)
+        number, at = np.bincount(inverse, weights=weight), at[where]
+        weight = np.ones(len(at))  # lower orders count how many distinct longer n-grams they end
+        once, twice = (number == 1).sum(), (number == 2).sum()
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        names, inverse = np.unique(gram_hashes(flat, at - 1, order - 1), return_inverse=True)
+        total = np.bincount(inverse, weights=number)
+        part["grams"][order] = h, (np.maximum(number - discount, 0) / total[inverse]).astype(np.float32)
+        part["contexts"][order - 1] = names, (discount * np.bincount(inverse) / total).astype(np.float32)
+    return part
+
+
+def assemble(parts: dict[str, dict]) -> Model:
+    """A model of all languages, from the parts of each."""
+    languages = sorted(parts)
+    if not languages:
+        return Model([], [], [], [], np.ones(0), 1.0)
+    letters = len(np.unique(np.concatenate([p["letters"] for p in parts.values()])))
     grams, direct, weight = [], [], []
-    for found in parts:
-        every = np.unique(np.concatenate([h for h, _, _ in found])) if found else np.zeros(1, dtype=U)
+    for order in range(1, ORDER + 1):
+        found = [(k, *parts[name]["grams"][order]) for k, name in enumerate(languages)]
+        contexts = [(k, *parts[name]["contexts"][order]) for k, name in enumerate(languages)] if order < ORDER else []
+        every = np.unique(np.concatenate([h for _, h, _ in found + contexts]))
         d, w = np.zeros((len(every), len(languages)), dtype=np.float32), np.ones((len(every), len(languages)), dtype=np.float32)
-        for h, value, tag in found:
-            (w if "weight" in tag else d)[np.searchsorted(every, h), tag["k"]] = value
+        for target, entries in ((d, found), (w, contexts)):
+            for k, h, value in entries:
+                target[np.searchsorted(every, h), k] = value
         grams.append(every)
         direct.append(d)
         weight.append(w)
-    return Model(languages, grams, direct, weight, start, uniform)
+    start = np.array([parts[name]["contexts"][0][1][0] for name in languages])
+    return Model(languages, grams, direct, weight, start, 1.0 / (letters + 2))
+
+
+def train_model(counts: list[tuple[str, str, int]]) -> Model:
+    """A model from (language, word, count) rows, words lower-cased and made of letters."""
+    by: dict[str, list[tuple[str, int]]] = {}
+    for language, word, n in counts:
+        by.setdefault(language, []).append((word, n))
+    return assemble({k: language_part([w for w, _ in rows], [n for _, n in rows]) for k, rows in by.items()})
 
 
 _SCANNER: list[Scanner] = []
@@ -310,7 +309,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     words = sample.where(~F.col("_back")).select("_lang", "_text").mapInArrow(tally, "lang string, word string, n long")
     found = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    model = train_model([(r["lang"], r["word"], r["n"]) for r in found.collect()])  # bounded by the sample
+
+    def learn(key: tuple, group: pa.Table) -> pa.Table:
+        part = language_part(group.column("word").to_pylist(), group.column("n").to_pylist())
+        return pa.table({"lang": [key[0].as_py()], "part": pa.array([pickle.dumps(part)], pa.binary())})
+
+    parts = found.groupBy("lang").applyInArrow(learn, "lang string, part binary").collect()  # a language's words are bounded by its sample
+    model = assemble({r["lang"]: pickle.loads(r["part"]) for r in parts})
     back = sample.where("_back").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"))
     chars = F.length(F.regexp_replace("text", r"\P{L}", ""))
     worst = apply(back.where(chars >= 40), model).agg(F.max("entropy")).first()[0]
@@ -319,21 +324,32 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return model
 
 
-def apply(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Identifier, ``lang_pred``, ``score``, ``entropy`` (per character, in nats) and ``rejected`` of each whole text."""
+def scoring(spark, model: Model):
+    """A function for executors: from a column of texts to lists of judgements, a list for every 1024 texts. The model is broadcast."""
     if model.size() > MODEL_BYTES:
         raise ValueError(f"the model has {model.size()} bytes; at most {MODEL_BYTES} are broadcast")
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> Iterator[list[tuple[str, float, float | None, bool]]]:
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                found = _SCORERS[name].judge(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
+        for at in range(0, len(texts), 1024):
+            yield _SCORERS[name].judge(texts.slice(at, 1024).to_pylist())
+
+    return run
+
+
+def apply(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Identifier, ``lang_pred``, ``score``, ``entropy`` (per character, in nats) and ``rejected`` of each whole text."""
+    judged = scoring(docs.sparkSession, model)
+    kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [row for part in judged(batch.column(1)) for row in part]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True))], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
@@ -347,7 +363,13 @@ def identify(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that are rejected."""
+    """``docs``, all columns, without the rows whose text is rejected."""
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    rejected = apply(docs, model, id_col=id_col, text_col=text_col).where("rejected").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected.distinct(), docs[id_col].eqNullSafe(F.col("_rejected")), "left_anti")
+    judged, place = scoring(docs.sparkSession, model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rejected = [r for part in judged(batch.column(place)) for _, _, _, r in part]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

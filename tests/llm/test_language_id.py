@@ -1,0 +1,101 @@
+"""Language ID: against a plain Kneser-Ney model, on held-out rows, and on odd input."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gaugewright.llm import language_id as li
+
+
+def plain_model(rows):
+    """Interpolated Kneser-Ney in dictionaries; returns a function from word to log probability."""
+    n, pad = li.ORDER, "\x01"
+    counts = [Counter() for _ in range(n + 1)]
+    for word, c in rows:
+        text = pad * (n - 1) + word + "\x02"
+        for i in range(n - 1, len(text)):
+            counts[n][text[i - n + 1 : i + 1]] += c
+    for order in range(n - 1, 0, -1):
+        for gram in counts[order + 1]:
+            counts[order][gram[1:]] += 1
+    tables = {}
+    for order in range(1, n + 1):
+        v = list(counts[order].values())
+        one, two = v.count(1), v.count(2)
+        d = one / (one + 2 * two) if one and two else 0.5
+        total, kinds = defaultdict(float), Counter()
+        for gram, c in counts[order].items():
+            total[gram[:-1]] += c
+            kinds[gram[:-1]] += 1
+        tables[order] = counts[order], total, kinds, d
+
+    def score(word, uniform):
+        text, out = pad * (n - 1) + word + "\x02", 0.0
+        for i in range(n - 1, len(text)):
+            p = uniform
+            for order in range(1, n + 1):
+                c, total, kinds, d = tables[order]
+                gram, context = text[i - order + 1 : i + 1], text[i - order + 1 : i]
+                if context in total:
+                    p = max(c[gram] - d, 0) / total[context] + d * kinds[context] / total[context] * p
+            out += math.log(p)
+        return out
+
+    return score
+
+
+def test_word_scores_match_a_plain_model():
+    rows = {"x": [("abba", 3), ("abc", 1), ("cab", 2), ("b", 1)], "y": [("zzy", 2), ("yab", 1), ("azé", 1)]}
+    model = li.train_model([(k, w, n) for k, v in rows.items() for w, n in v])
+    words = ["abba", "zz", "é", "qq", "cabab"]
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+    ends = np.cumsum([len(w) for w in words])
+    got = model.word_scores(codes, ends - [len(w) for w in words], ends)
+    for k, language in enumerate(model.languages):
+        want = plain_model(rows[language])
+        assert got[:, k] == pytest.approx([want(w, model.uniform) for w in words], rel=1e-4)
+
+
+def test_scanner_finds_all_words(monkeypatch):
+    texts = ["Der Öl-Preis 12", None, "", "a" * 50 + " b", "x,y\nz"]
+    for size in (8, 1 << 20):
+        monkeypatch.setattr(li, "SEGMENT", size)
+        found = [[] for _ in texts]
+        for codes, owner, starts, ends, hashes in li.Scanner().words(texts):
+            text = codes.tobytes().decode("utf-32-le")
+            assert len(set(hashes.tolist())) == len({text[a:b] for a, b in zip(starts, ends, strict=True)})
+            for o, a, b in zip(owner, starts, ends, strict=True):
+                found[o].append(text[a:b])
+        assert found == [["der", "öl", "preis"], [], [], ["a" * 50, "b"], ["x", "y", "z"]]
+
+
+def test_held_out_accuracy_and_rejection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = spark.createDataFrame([(10**6, "Ѐџщ чсшќ лбн њћђѓ цйк жзх эюя ѐѝў " * 5, None, "s", 1), (10**6 + 1, "12 34 --", "en", "s", 1), (10**6 + 2, None, "en", "s", 1), (10**6 + 3, "", None, None, None)], docs.schema)
+    out = li.identify(docs.unionByName(strange)).cache()
+    assert out.count() == docs.count() + 4
+    joined = out.join(docs, "doc_id")
+    assert joined.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.99
+    assert joined.where("rejected").count() == 0
+    rows = {r["doc_id"]: r for r in out.where("doc_id >= 1000000").collect()}
+    assert [rows[10**6 + k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and all(r["rejected"] for r in rows.values())
+    kept = li.keep_identified(docs.unionByName(strange).withColumn("score", F.lit(1)).repartition(3))
+    assert kept.columns == [*docs.columns, "score"] and kept.count() == docs.count()
+
+
+def test_folds_decide_and_labels_do_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = li.fold("doc_id") == 0
+    other = docs.withColumns({"lang": F.when(held, "zz").otherwise(F.col("lang")), "source": F.lit("q")})
+    pick = lambda d: sorted(map(tuple, li.identify(d).select("doc_id", "held_out", "lang_pred", "score").collect()))
+    assert pick(docs) == pick(other)
+
+
+def test_no_training_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert li.identify(empty).count() == 0
+    rows = li.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
+    assert rows[0]["lang_pred"] == "und" and rows[0]["rejected"]
