@@ -3,7 +3,7 @@
 Text nodes are grouped by the path of tags from the root. Each path has a text ratio (characters per
 node) and a punctuation ratio; both are smoothed over the paths in page order, fused into one score by
 their geometric mean, and paths above the threshold (a share of the scores' standard deviation) hold content nodes. The
-smallest element that has most of the content nodes' text is the article; it is widened to the
+smallest container that has most of the content nodes' text is the article; it is widened to the
 ``article`` or ``main`` element around it. All text blocks of that element are kept but for elements
 that are no article text by their kind (menus, headers, footers, sidebars, forms, scripts) or by the
 words of their class, id or role (adverts, notices, comments). Those take no part in the ratios either.
@@ -29,6 +29,7 @@ RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe button select option textarea input svg canvas object embed audio video map head title menu dialog noembed noframes xmp math".split())
+TEXT_LEVEL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption td th tr tbody table".split())
 NEVER_LEFT_OUT = frozenset("html body main article".split())
 # Words of class, id and role that mark what is no article text.
 MARKS = frozenset(
@@ -42,6 +43,9 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main bo
 #: Share of the standard deviation of the fused scores that a content path has at least.
 THRESHOLD = 0.5
 
+#: Share of the content nodes' text that the article has more than.
+MOST = 0.85
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -148,7 +152,9 @@ def article_element(elements: list[Element], texts: list[TextNode]) -> int:
             weight[t.element] += len(t.text.strip())
     for k in range(len(elements) - 1, 0, -1):
         weight[elements[k].parent] += weight[k]
-    best = max((k for k in range(len(elements)) if 2 * weight[k] > weight[0]), default=0)  # the deepest comes last
+    best = max((k for k in range(len(elements)) if weight[k] > MOST * weight[0]), default=0)  # the deepest comes last
+    while elements[best].tag in TEXT_LEVEL:
+        best = elements[best].parent
     at = best
     while at > 0:
         if elements[at].tag in ("article", "main"):
