@@ -16,6 +16,7 @@ from gaugewright.functions.numeric import bisect, fit_logistic, isotonic, logit,
 from gaugewright.functions.ranks import midrank, quantile_bands, running, value_counts
 from gaugewright.functions.resample import percentile_interval, weighted_sums
 from gaugewright.operators.downstream import paired
+from gaugewright.report.tables import markdown_document
 
 VERSION = 1
 #: Distinct scores that a fit takes to the driver as they are; beyond, neighbours are merged into as many quantile cells.
@@ -109,6 +110,9 @@ class CalibrationAssessment:
     model: CalibrationModel | None
     notes: list[str] = field(default_factory=list)
 
+    def to_markdown(self, max_rows: int = 50) -> str:
+        return markdown_document("Calibration", self.metrics, {"curve": self.curve}, max_rows)
+
 
 def assess_calibration(
     df: DataFrame, score: str, outcome: str, *, key: Sequence[str], model: CalibrationModel | None = None, assume_probabilities: bool = False, bins: int = 10, min_bin_size: int = 30, confidence_level: float = 0.95, n_bootstrap: int = 500, random_state: int = 0, source: str = "supplied"

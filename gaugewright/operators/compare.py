@@ -18,6 +18,7 @@ from gaugewright.operators.downstream import lift_rows, validity_of
 from gaugewright.operators.segments import segment_summary
 from gaugewright.operators.stability import baseline_cuts, bin_index, psi_from_counts, psi_over_time
 from gaugewright.session import materialize
+from gaugewright.report.tables import markdown_document
 
 DIFFERENCE = 1e-12
 
@@ -91,6 +92,9 @@ class ScoreComparison:
     def assessment(self) -> str:
         return self.performance["assessment"]
 
+    def to_markdown(self, max_rows: int = 50) -> str:
+        return markdown_document("Score comparison", self.coverage | self.metrics, {"performance": [self.performance], "dimensions": self.dimensions, **self.tables}, max_rows)
+
 
 def _bootstrap(ranked: DataFrame, kind: str, polarities: tuple[int, int], key: Sequence[str], samples: int, seed: int) -> list[float]:
     if kind == "binary":

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from gaugewright.frame import numeric
 from gaugewright.functions.moments import BlockMoments, block_moments
 from gaugewright.functions.resample import percentile_interval, weighted_blocks
+from gaugewright.report.tables import markdown_document
 
 
 def one_factor(corr: np.ndarray) -> np.ndarray:
@@ -45,6 +46,9 @@ class ConstructValidity:
     def tables(self) -> dict[str, list[dict]]:
         return {"ave": self.ave, "htmt": self.htmt, "polarity": self.polarity, "loadings": self.loadings}
 
+    def to_markdown(self, max_rows: int = 50) -> str:
+        return markdown_document("Construct validity", {"assessed": self.assessed, "reason": self.reason, "rows": self.n}, self.tables(), max_rows)
+
 
 def check_constructs(constructs: Mapping[str, Sequence[str]]) -> list[str]:
     """All indicators, in order; each construct needs two and none may be in two."""

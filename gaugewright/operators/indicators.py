@@ -92,6 +92,9 @@ def check_indicators(df: DataFrame, indicators: Sequence[str], score: str | None
     block = block_moments(numeric(df, indicators, check=False), indicators)
     alpha, inflation = alpha_of(block), vif_of(block)
     pairs = redundant_pairs(df, indicators, t.max_pairwise_corr).collect()
+    close = dominance(df, indicators, score) if score is not None and len(indicators) > 1 else {}
+    looked = lambda values: F.element_at(F.create_map(*[x for c in indicators for x in (F.lit(c), F.lit(values.get(c)).cast("double"))]), F.col("indicator"))
+    details = table.withColumns({"vif": looked(inflation), "score_corr_abs": looked(close)})
     fails, warns = [], []
     for c in indicators:
         r = rows.get(c)
@@ -108,7 +111,6 @@ def check_indicators(df: DataFrame, indicators: Sequence[str], score: str | None
     if alpha < t.min_cronbach_alpha:
         warns.append(f"alpha is {alpha:.2f}")
     warns += [f"{p['indicator_a']} and {p['indicator_b']} correlate at {p['corr']:.2f}" for p in pairs]
-    if score is not None and len(indicators) > 1:
-        warns += [f"{c} alone nearly is the score ({r:.2f})" for c, r in dominance(df, indicators, score).items() if r >= t.max_score_indicator_corr]
+    warns += [f"{c} alone nearly is the score ({r:.2f})" for c, r in close.items() if r >= t.max_score_indicator_corr]
     status = Status.FAIL if fails else Status.WARN if warns else Status.PASS
-    return CheckResult("indicators", status, "; ".join(fails + warns) or "the indicators are sound", {"n_indicators": len(indicators), "cronbach_alpha": alpha, "max_vif": max(inflation.values(), default=math.nan), "redundant_pairs": len(pairs)}, table, fails + warns)
+    return CheckResult("indicators", status, "; ".join(fails + warns) or "the indicators are sound", {"n_indicators": len(indicators), "cronbach_alpha": alpha, "max_vif": max(inflation.values(), default=math.nan), "redundant_pairs": len(pairs)}, details, fails + warns)

@@ -17,6 +17,7 @@ from gaugewright.frame import numeric
 from gaugewright.functions.moments import BlockMoments, grouped_moments
 from gaugewright.functions.numeric import chi2_tail, minimise
 from gaugewright.operators.constructs import check_constructs
+from gaugewright.report.tables import markdown_document
 
 LEVELS = ("configural", "metric", "scalar", "strict")
 # What is equal across groups at each level.
@@ -161,6 +162,9 @@ class MeasurementInvariance:
     def tables(self) -> dict[str, list[dict]]:
         return {"levels": self.levels, "parameters": self.parameters, "group_sizes": self.group_sizes}
 
+    def to_markdown(self, max_rows: int = 50) -> str:
+        return markdown_document("Measurement invariance", {"assessed": self.assessed, "reason": self.reason, "highest supported": self.highest_supported}, self.tables(), max_rows)
+
 
 def invariance_of_moments(groups: Mapping[object, BlockMoments], constructs: Mapping[str, Sequence[str]], limits: InvarianceLimits | None = None) -> MeasurementInvariance:
     """The ladder from group moments; the first group's latent means are the reference."""

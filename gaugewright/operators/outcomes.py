@@ -15,6 +15,7 @@ from gaugewright.operators.compare import ScoreComparison, compare_scores
 from gaugewright.operators.downstream import check_downstream
 from gaugewright.operators.leakage import check_leakage
 from gaugewright.results import CheckResult, Status, Verdict
+from gaugewright.report.tables import markdown_document
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,21 @@ class OutcomeSpec:
         if self.importance not in ("required", "supporting"):
             raise ValueError("importance must be required or supporting")
 
+    @classmethod
+    def from_alignment(cls, outcome_type: str, **how) -> OutcomeSpec:
+        """The spec of an aligned outcome; use it on the frame of :func:`with_maturity`."""
+        return cls("aligned_outcome", outcome_type, mature="outcome_mature", **how)
+
     def mature_rows(self, df: DataFrame) -> DataFrame:
         require_columns(df, [self.column, *([self.mature] if self.mature else [])])
         return df.where(F.col(self.mature)) if self.mature else df
 
 
+def with_maturity(aligned: DataFrame) -> DataFrame:
+    """Aligned observations with ``outcome_mature``: whether the outcome is known or its window has closed."""
+    return aligned.withColumn("outcome_mature", F.col("outcome_status") != "censored")
+
+
 @dataclass
 class OutcomeValidation:
     spec: OutcomeSpec
@@ -56,6 +67,9 @@ class MultiOutcomeReport:
     outcomes: dict[str, OutcomeValidation]
     summary: list[dict] = field(default_factory=list)
 
+    def to_markdown(self, max_rows: int = 50) -> str:
+        return markdown_document("Outcomes", {"verdict": self.verdict.value, "reason": self.reason}, {"summary": self.summary}, max_rows)
+
 
 def validate_outcome(df: DataFrame, score: str, indicators: Sequence[str], name: str, spec: OutcomeSpec, thresholds: Thresholds | None = None) -> OutcomeValidation:
     rows = spec.mature_rows(df)

@@ -13,6 +13,7 @@ from gaugewright.frame import numeric
 from gaugewright.functions.moments import BlockMoments, block_moments
 from gaugewright.functions.resample import percentile_interval, weighted_blocks
 from gaugewright.operators.construct import PCAScore, first_component
+from gaugewright.report.tables import markdown_document
 
 
 @dataclass
@@ -28,6 +29,13 @@ class PCADrift:
     intervals: dict = field(default_factory=dict)
     loadings: list[dict] = field(default_factory=list)
 
+    def tables(self) -> dict[str, list[dict]]:
+        return {"loadings": self.loadings}
+
+    def to_markdown(self, max_rows: int = 50) -> str:
+        facts = {"assessed": self.assessed, "reason": self.reason, "rows": self.n, "cosine": self.cosine, "largest change": self.max_loading_delta, "change of explained share": self.explained_change}
+        return markdown_document("Loading drift", facts, self.tables(), max_rows)
+
 
 def aligned(current: np.ndarray, baseline: np.ndarray) -> tuple[np.ndarray, float]:
     """The current loadings, turned to the baseline's side, and their cosine with it."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gaugewright.frame import numeric, require_columns
 from gaugewright.functions.ranks import ratio, running
 from gaugewright.session import materialize
+from gaugewright.report.tables import markdown_document
 
 
 @dataclass
@@ -33,6 +34,9 @@ class SurvivalValidation:
     def tables(self) -> dict[str, list[dict]]:
         return {"ranking_summary": self.ranking_summary, "ranking_by_horizon": self.ranking_by_horizon, "calibration_by_horizon": self.calibration_by_horizon}
 
+    def to_markdown(self, max_rows: int = 50) -> str:
+        return markdown_document("Survival validation", {"assessed": self.assessed, "reason": self.reason, **self.metrics}, self.tables(), max_rows)
+
 
 def risk_sets(df: DataFrame, duration: str = "time", event: str = "event") -> DataFrame:
     """``time``, ``n``, ``events``, ``censored`` and ``at_risk`` of each distinct duration."""

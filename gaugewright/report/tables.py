@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -46,6 +46,15 @@ def html_table(table: DataFrame | Sequence[dict], max_rows: int | None = 100) ->
     return f"<table><thead><tr>{cells('th', names)}</tr></thead><tbody>{body}</tbody></table>" + (f"<p>first {max_rows} rows</p>" if more else "")
 
 
+def markdown_document(title: str, facts: Mapping[str, object], tables: Mapping[str, DataFrame | Sequence[dict]], max_rows: int | None = 50) -> str:
+    """A report of a result: its facts as one table, then its tables."""
+    parts = [f"# {title}"]
+    if facts:
+        parts.append(markdown_table([{"item": k, "value": v} for k, v in facts.items()], None))
+    parts += [f"## {name.replace('_', ' ')}\n\n{markdown_table(t, max_rows)}" for name, t in tables.items()]
+    return "\n\n".join(parts) + "\n"
+
+
 STYLE = "body{font:15px sans-serif;max-width:70em;margin:2em auto;color:#222}table{border-collapse:collapse;margin:1em 0}td,th{border:1px solid #ccc;padding:.3em .6em;text-align:left}.pass{color:#176d2f}.warn{color:#8a5a00}.fail{color:#a01818}.skip{color:#666}"
 
 
