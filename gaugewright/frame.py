@@ -22,11 +22,23 @@ def present(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def trusted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mark ``columns`` as checked numbers, so that :func:`numeric` doesn't scan this frame for them again."""
+    df._gw_numeric = frozenset(columns) | df.__dict__.get("_gw_numeric", frozenset())
+    return df
+
+
+def _is_trusted(df: DataFrame, columns: Sequence[str]) -> bool:
+    return set(columns) <= df.__dict__.get("_gw_numeric", frozenset())
+
+
 def numeric(df: DataFrame, columns: Sequence[str], *, check: bool = True) -> DataFrame:
     """``df`` with ``columns`` as double, NaN as null. Columns of other kinds and infinities are refused."""
     require_columns(df, columns)
     if not columns:
         raise ValueError("at least one column is needed")
+    if _is_trusted(df, columns):
+        return df
     for c in columns:
         if not isinstance(df.schema[c].dataType, (NumericType, BooleanType)):
             raise TypeError(f"column {c} isn't numeric")
@@ -35,6 +47,7 @@ def numeric(df: DataFrame, columns: Sequence[str], *, check: bool = True) -> Dat
         counts = out.agg(*[F.count_if(F.abs(c) == math.inf).alias(c) for c in columns]).first()
         if bad := [f"{c}: {counts[c]}" for c in columns if counts[c]]:
             raise ValueError(f"infinite values in {', '.join(bad)}")
+        trusted(out, columns)
     return out
 
 

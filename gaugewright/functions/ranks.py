@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.session import materialize
+
 #: Distinct values that one task may order.
 ONE_TASK = 1_000_000
 RANGES = 256
@@ -30,6 +32,7 @@ def running(counts: DataFrame, value: str, keys: Sequence[str] = (), also: Seque
     """
     keys = list(keys)
     names = {"n": ("below", "total")} | {c: (f"{c}_below", f"{c}_total") for c in also}
+    counts = materialize(counts, "counts")  # written once, then counted and read
     if counts.count() <= limit:
         before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*keys)

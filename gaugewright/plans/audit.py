@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.config import Thresholds
-from gaugewright.frame import check_unique, numeric, require_columns
+from gaugewright.frame import check_unique, numeric, require_columns, trusted
 from gaugewright.governance import create_governance_manifest, to_json
 from gaugewright.operators.construct import SCORE, CompositeScore
 from gaugewright.operators.downstream import check_downstream
@@ -113,7 +113,7 @@ class ScoreAudit:
     def run(self) -> AuditReport:
         t = self.thresholds
         df, score, first = self._frame()
-        df = df.persist()
+        df = trusted(df.persist(), [*self.indicators, score])
         try:
             checks = [*first, check_indicators(df, self.indicators, score, t)]
             skip = lambda name, why: CheckResult(name, Status.SKIP, f"no {why} is given")
