@@ -7,10 +7,12 @@ rank can lower a position (large sets need one or two steps per element).
 
 Documents with the same set are one class. Classes that agree on a band of the signature are candidates:
 
-1. Each member of a band's bucket is held against the bucket's smallest identifier.
-2. Components of the links that are confirmed are formed. In buckets that still hold several, members
-   of all but the most frequent component are held against all members of other components, in blocks of
-   bounded size; each pair once, in the first band on which it agrees.
+1. In each of a few rounds, every bucket has some pivots (the members with the smallest hashes of identifier and
+   round). A member of another component is held against the pivots that it meets in most bands, so there are no more
+   such pairs than a small multiple of the classes. Links that are confirmed join components.
+2. In buckets that still hold several components, members of all but the most frequent one are held against all
+   members of other components, in blocks of bounded size; each pair once, in the first band on which it agrees. A block confirms its candidates itself, from the full sets of
+   the rows that have any, and gives only as many links as join them.
 
 So no bucket is expanded into all pairs, and what lies in one component already needs no more checks,
 yet no two members of a bucket stay apart without a check. A candidate must have an estimated similarity
@@ -32,18 +34,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.components import connected_components
+from gaugewright.llm.components import connected_components, local_forest
 from gaugewright.llm.hashing import MULTIPLY, SpanHasher, U, mixed
-from gaugewright.llm.prefilter import build_filter, passing
-from gaugewright.session import materialize
+from gaugewright.llm.prefilter import build_filter, passing, without
+from gaugewright.session import materialize, parallelism
 
 BANDS, ROWS = 32, 4
 POSITIONS = BANDS * ROWS
 WORDS_EACH = 5
-#: Positions that must agree for a pair to be verified: over five standard deviations below a similarity of 0.75.
-ESTIMATE = 68
+#: Positions that must agree for a pair to be verified: nearly five standard deviations below a similarity of 0.75.
+ESTIMATE = 72
 #: Members in a block of a bucket.
 BLOCK = 128
+#: Rounds, pivots of a bucket in each, and pivots that a member is held against in each.
+ROUNDS, PIVOTS, TRIES = 2, 4, 3
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _HASHER = SpanHasher()
 
@@ -183,54 +187,121 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
 
+def texts_of(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and whole ``text`` of the documents in ``needed`` (written); only those, and few others, are shuffled."""
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return passing(chosen, build_filter(needed, "id"), "id").join(needed, "id")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a written table) whose full sets, of the whole texts, are similar enough."""
     needed = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-needed")
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = materialize(passing(chosen, build_filter(needed, "id"), "id").join(needed, "id"), "near-texts")
+    texts = materialize(texts_of(needed, docs, id_col, text_col), "near-texts")
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block (rows in order of band, key, i, j): pairs of left and right rows of different components."""
-
-    def pairs(block: pa.Table) -> pa.RecordBatch:
-        left = block.column("left").to_numpy().astype(bool)
-        ids, component, n = (block.column(c).to_numpy() for c in ("id", "component", "n"))
-        sign = np.frombuffer(b"".join(block.column("signature").to_pylist()), dtype="<u2").reshape(-1, POSITIONS)
-        band = int(block.column("band")[0].as_py())
-        p, q = np.flatnonzero(left), np.flatnonzero(~left)
-        a, b = np.repeat(p, len(q)), np.tile(q, len(p))
-        good = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b]))
-        a, b = a[good], b[good]
-        same = sign[a] == sign[b]
-        first = same.reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        good = first & (same.sum(axis=1) >= ESTIMATE)
-        x, y = ids[a[good]], ids[b[good]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks of rows in order of band, key, i and j."""
     held: list[pa.RecordBatch] = []
-    names = ("band", "key", "i", "j")
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        columns = [table.column(c).to_pylist() for c in names]
-        marks = list(zip(*columns, strict=True))
+        table = pa.Table.from_batches([*held, batch])
+        marks = list(zip(*(table.column(c).to_pylist() for c in ("band", "key", "i", "j")), strict=True))
         cuts = [0, *(k for k in range(1, len(marks)) if marks[k] != marks[k - 1])]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            yield pairs(table.slice(s, e - s))
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield table.slice(start, end - start)
         held = table.slice(cuts[-1]).combine_chunks().to_batches()
     if held:
-        yield pairs(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right rows of different components that look similar and agree on this band first."""
+    left = block.column("left").to_numpy().astype(bool)
+    component, n = block.column("component").to_numpy(), block.column("n").to_numpy()
+    sign = np.frombuffer(b"".join(block.column("signature").to_pylist()), dtype="<u2").reshape(-1, POSITIONS)
+    p, q = np.flatnonzero(left), np.flatnonzero(~left)
+    a, b = np.repeat(p, len(q)), np.tile(q, len(p))
+    good = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b]))
+    a, b = a[good], b[good]
+    same = sign[a] == sign[b]
+    first = same.reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1) == int(block.column("band")[0].as_py())
+    good = first & (same.sum(axis=1) >= ESTIMATE)
+    return a[good], b[good]
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block that have a candidate in it."""
+    for block in _blocks(batches):
+        a, b = _candidates(block)
+        if len(a):
+            rows = block.select(["band", "key", "i", "j", "left", "id"]).take(pa.array(np.union1d(a, b)))
+            yield from rows.combine_chunks().to_batches()
+
+
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common elements of pairs of sets; many pairs at once by products of incidence matrices over portions of the elements."""
+    if len(a) < 200:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for start in range(0, len(names), 8192):
+        low, high = np.searchsorted(place, [start, start + 8192])
+        held = np.zeros((len(sets), 8192), dtype=np.float32)
+        held[owner[low:high], place[low:high] - start] = 1
+        common += held @ held.T
+    return common[a, b].astype(np.int64)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, links of confirmed candidates: as many as join its rows, not all pairs."""
+    for block in _blocks(batches):
+        a, b = _candidates(block)
+        if not len(a):
+            continue
+        ids = block.column("id").to_numpy()
+        sets = [np.frombuffer(x, dtype=U) for x in block.column("set").to_pylist()]
+        n, both = np.array([len(x) for x in sets]), intersections(sets, a, b)
+        good = 100 * both >= 75 * (n[a] + n[b] - both)
+        pairs = pa.RecordBatch.from_arrays([pa.array(ids[a[good]]), pa.array(ids[b[good]])], ["a", "b"])
+        yield from local_forest(iter([pairs]))
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
-    """Candidates between components that share a bucket. ``members`` (written): ``band``, ``key``, ``id``."""
-    labelled = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "signature", F.coalesce("component", "id").alias("component"))
-    labelled = materialize(labelled, "near-labelled")
+def _shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1).to_pylist())], pa.binary())], ["id", "set"])
+
+
+def labelled(classes: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The classes with their components so far; one that has no link is its own."""
+    if component is None:
+        return classes.withColumn("component", F.col("id"))
+    joined = classes.join(component.withColumnRenamed("node", "id"), "id", "left")
+    return materialize(joined.select("id", "n", "signature", F.coalesce("component", "id").alias("component")), "near-labelled")
+
+
+def pivot_pairs(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs of members and pivots of other components. ``members`` (written): ``band``, ``key``, ``id``; ``classes`` are labelled."""
+    bucket = materialize(members.join(classes.select("id", "component"), "id").select("band", "key", "id", "component"), "near-members")
+    first = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + k)).alias("h"), "id", "component")).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = bucket.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *first).where("low < high")
+    chosen = materialize(chosen.select("band", "key", F.array(*[F.struct(F.col(f"p{k}.id").alias("id"), F.col(f"p{k}.component").alias("component")) for k in range(PIVOTS)]).alias("pivots")), "near-pivots")
+    other = F.transform(F.filter("pivots", lambda p: p["component"] != F.col("component")), lambda p: p["id"])
+    met = bucket.join(chosen, ["band", "key"]).select("id", F.explode(F.array_distinct(other)).alias("pivot")).groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
+    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("bands", "pivot")), asc=False), 1, TRIES).alias("best"))  # at most BANDS * PIVOTS entries
+    pairs = best.select("id", F.explode("best.pivot").alias("pivot"))
+    return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def cross_links(members: DataFrame, labelled: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links between components that share a bucket, confirmed in blocks. ``members`` (written): ``band``, ``key``, ``id``."""
     bucket = members.join(labelled.select("id", "component"), "id")
     bucket = materialize(bucket.select("band", "key", "id", "component"), "near-members")
     by_component = bucket.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -240,10 +311,18 @@ def cross_pairs(members: DataFrame, classes: DataFrame, component: DataFrame) ->
     salt = F.xxhash64("id")
     right = open_rows.select("band", "key", "id", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(salt, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("left"))
     left = open_rows.where("component != most").select("band", "key", "id", F.pmod(salt, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"))
-    rows = materialize(left.unionByName(right), "near-blocks").join(labelled, "id")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("band", "key", "i", "j", "left", "id", "component", "n", "signature").repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return dealt.mapInArrow(_cross, "a long, b long").distinct()
+    placed = materialize(left.unionByName(right), "near-blocks")
+    parts = parallelism(members.sparkSession)
+    block = ["band", "key", "i", "j"]
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(*block, "left", "id", "component", "n", "signature", *more).repartition(parts, *block).sortWithinPartitions(*block)
+
+    kinds = "band int, key binary, i int, j int, left boolean, id long"
+    open_rows = materialize(dealt(placed.join(labelled, "id")).mapInArrow(_open_rows, kinds), "near-open")
+    needed = materialize(open_rows.select("id").distinct(), "near-needed")
+    sets = materialize(texts_of(needed, docs, id_col, text_col).mapInArrow(_shingle_bytes, "id long, set binary"), "near-sets")
+    return dealt(open_rows.join(labelled, "id").join(sets, "id"), "set").mapInArrow(_linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,16 +334,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = materialize(usable.join(firsts, ["id", "digest"]).select("id", "n", "signature").dropDuplicates(["id"]), "near-firsts")
 
     bands = banded(classes)
-    shared = bands.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
+    shared = bands.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "key")
     members = materialize(bands.join(materialize(shared, "near-shared"), ["band", "key"]), "near-buckets")
-    stars = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialize(promising(materialize(stars, "near-stars"), classes), "near-promising")
-    links = materialize(confirmed(stars, docs, id_col, text_col), "near-links")
-
-    more = cross_pairs(members.drop("hub"), classes, connected_components(links))
-    more = materialize(more.join(stars, ["a", "b"], "left_anti"), "near-cross")
-    links = links.unionByName(confirmed(more, docs, id_col, text_col))
-    component = materialize(connected_components(links), "near-components")
+    tested: DataFrame | None = None
+    links: DataFrame | None = None
+    component: DataFrame | None = None
+    for turn in range(ROUNDS):
+        met = pivot_pairs(members, labelled(classes, component), turn)
+        met = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(promising(materialize(met, "near-met"), classes), "near-pairs")
+        found = materialize(confirmed(pairs, docs, id_col, text_col), "near-links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        component = materialize(connected_components(links), "near-components")
+    found = materialize(cross_links(members, labelled(classes, component), docs, id_col, text_col), "near-links")
+    component = materialize(connected_components(links.unionByName(found)), "near-components")
 
     of_class = named.join(component.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component"))
     of_class = materialize(of_class, "near-named")
@@ -275,5 +359,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest identifier."""
-    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.distinct(), docs[id_col] == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select("doc_id")
+    return without(docs, materialize(dropped, "near-dropped"), id_col)
