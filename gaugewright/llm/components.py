@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from gaugewright.session import materialize
 
 
-def local_forest(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+#: Links that one task takes into its union-find.
+LINKS = 200_000
+
+
+def local_forest(batches: Iterator[pa.RecordBatch], most: int = 2 * LINKS) -> Iterator[pa.RecordBatch]:
     """Links of a partition, in portions of bounded size, as links to the smallest node of each portion's components."""
     parent: dict[int, int] = {}
 
@@ -45,18 +49,27 @@ def _nearest(links: DataFrame) -> DataFrame:
     return materialize(links.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a"), F.least("a", "_m").alias("_m")), "components-nearest")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, per_task: int = LINKS) -> DataFrame:
     """(node, component) of all nodes of ``links`` (a long, b long); a component's name is its smallest node.
 
-    Each round links all larger neighbours of a node to its smallest one, then all smaller ones, and
-    drops links that are the same; it ends when a round changes nothing. No task holds a component.
+    Union-find takes ``per_task`` links at a time. What is left of several such portions is contracted by
+    stars: each round links all larger neighbours of a node to its smallest one, then all smaller
+    ones, and drops links that are the same, until a round changes nothing. No task holds a component.
     """
-    links = materialize(links.select("a", "b").where("a != b").mapInArrow(local_forest, "a long, b long").distinct(), "components")
+    links = materialize(links.select("a", "b").where("a != b"), "components-links")
+    portions = max(1, -(-links.count() // per_task))
+    links = materialize(links.repartition(portions).mapInArrow(local_forest, "a long, b long"), "components")
+    if portions > 1:
+        links = _contracted(links.distinct())
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _contracted(links: DataFrame) -> DataFrame:
     before = None
     while True:
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            return links
         before = tuple(state)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_nearest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()

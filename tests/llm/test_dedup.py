@@ -138,7 +138,8 @@ def test_signature_estimates_similarity():
     assert abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < 0.2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [200_000, 20])
+def test_components(spark, per_task):
     r = random.Random(5)
     links = [(k, k + 1) for k in range(60)] + [(r.randint(100, 140), r.randint(100, 140)) for _ in range(30)] + [(500, 500 + k) for k in range(1, 50)]
     df = spark.createDataFrame(links, "a long, b long").repartition(6)
@@ -146,7 +147,7 @@ def test_components(spark):
     for _ in range(len(parent)):
         for a, b in links:
             parent[a] = parent[b] = min(parent[a], parent[b])
-    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(df, per_task).collect()}
     assert all(got[x] == parent[x] for x in parent if any(a != b and x in (a, b) for a, b in links))
 
 
