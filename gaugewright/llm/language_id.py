@@ -273,7 +273,7 @@ def fold(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, slack: float = 1.5) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, slack: float = 2.0) -> Model:
     """Learn from rows with a language whose fold isn't 0.
 
     A tenth of the sample is held back from the counts; a text is rejected above ``slack`` times the
