@@ -101,7 +101,7 @@ def create_monitoring_baseline(
         score = SCORE
         df = constructor.transform(df, score)
     df = numeric(df, [score])
-    columns = [*indicators, score]
+    columns = list(dict.fromkeys([*indicators, score]))
     cuts = baseline_cuts(df, columns, bins)
     if not cuts[score]:
         raise ValueError("the score has no values")
@@ -114,7 +114,7 @@ def create_monitoring_baseline(
     if constructor is not None and constructor.params.get("scaling") == "rank":
         raise ValueError("a rank-scaled score has no bounded state; monitor it by its score column")
     manifest = create_governance_manifest(governance, row_counts={"baseline": counts[score]["rows"]}, thresholds=t, configuration={"bins": bins, "indicators": list(indicators)}, generated_at=created_at, strict=governance_strict)
-    rename = lambda d: {("score" if k == score else k): v for k, v in d.items()}
+    rename = lambda d: {c: d[c] for c in indicators} | {"score": d[score]}
     return MonitoringBaseline(
         {
             "artifact_version": ARTIFACT_VERSION, "score_id": score_id, "score_version": score_version, "created_at": utc(created_at), "indicators": list(indicators), "rows": counts[score]["rows"], "bins": bins, "cuts": rename(cuts), "counts": rename(counts), "outcome_performance": performance,
@@ -209,7 +209,7 @@ def monitor_batch(baseline: MonitoringBaseline, df: DataFrame, *, score: str | N
     if score is None:
         df, score = baseline.constructor().transform(df, SCORE), SCORE
     df = numeric(df, [score], check=False)
-    found = state_counts(df, [*indicators, score], {**{c: baseline.cuts[c] for c in indicators}, score: baseline.cuts["score"]})
+    found = state_counts(df, list(dict.fromkeys([*indicators, score])), {**{c: baseline.cuts[c] for c in indicators}, score: baseline.cuts["score"]})
     rows = found[score]["rows"]
 
     share = rows / baseline.rows if baseline.rows else math.nan

@@ -254,13 +254,13 @@ def _aligned(spark: SparkSession, d: str, match: str) -> align.AlignmentResult:
 
 def _align_sql(pick: str) -> str:
     return f"""WITH {_OBS}, m AS (SELECT event_id, {pick}(out ORDER BY t, e) AS o FROM obs JOIN out ON out.user_id = obs.user_id AND {_WEEK} GROUP BY event_id)
-    SELECT obs.event_id, user_id, {r6("CASE WHEN o IS NOT NULL THEN o.value WHEN ts + INTERVAL 7 DAY <= (SELECT m FROM ends) THEN 0 END", 'aligned_outcome')}, o.t AS aligned_outcome_time, floor(epoch(o.t) - epoch(ts) + 0.0000001)::BIGINT AS lag_seconds,
+    SELECT obs.event_id, user_id, {r6("CASE WHEN o IS NOT NULL THEN o.value WHEN ts + INTERVAL 7 DAY <= (SELECT m FROM ends) THEN 0 END", 'aligned_outcome')}, o.t AS aligned_outcome_time, floor(epoch(o.t) - epoch(ts) + 0.0000001)::DOUBLE AS lag_seconds,
            CASE WHEN o IS NOT NULL THEN 'matched' WHEN ts + INTERVAL 7 DAY <= (SELECT m FROM ends) THEN 'unmatched' ELSE 'censored' END AS outcome_status
     FROM obs LEFT JOIN m USING (event_id)"""
 
 
 def _align_rows(found: align.AlignmentResult) -> DataFrame:
-    lag = F.floor((F.unix_micros(F.col("aligned_outcome_time").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6 + 0.0000001).alias("lag_seconds")
+    lag = F.floor((F.unix_micros(F.col("aligned_outcome_time").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6 + 0.0000001).cast("double").alias("lag_seconds")
     return rounded(found.data.select("event_id", "user_id", "aligned_outcome", "aligned_outcome_time", lag, "outcome_status"))
 
 
@@ -288,7 +288,7 @@ def dedupe_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH s AS (SELECT user_id, date_trunc('day', ts) AS scored_at, value, event_id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) = 1),
     o AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS t FROM events WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-20')
-    SELECT s.user_id, s.scored_at, {r6('value', 'score')}, CASE WHEN count(t) > 0 THEN 1 WHEN scored_at + INTERVAL 3 DAY <= TIMESTAMP '2024-01-20' THEN 0 END AS aligned_outcome, CASE WHEN count(t) > 0 THEN 'matched' WHEN scored_at + INTERVAL 3 DAY <= TIMESTAMP '2024-01-20' THEN 'unmatched' ELSE 'censored' END AS outcome_status
+    SELECT s.user_id, s.scored_at, {r6('value', 'score')}, (CASE WHEN count(t) > 0 THEN 1 WHEN scored_at + INTERVAL 3 DAY <= TIMESTAMP '2024-01-20' THEN 0 END)::DOUBLE AS aligned_outcome, CASE WHEN count(t) > 0 THEN 'matched' WHEN scored_at + INTERVAL 3 DAY <= TIMESTAMP '2024-01-20' THEN 'unmatched' ELSE 'censored' END AS outcome_status
     FROM s LEFT JOIN o ON o.user_id = s.user_id AND t > scored_at AND t <= scored_at + INTERVAL 3 DAY GROUP BY s.user_id, scored_at, value""")
 def recipe_prepare(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
@@ -297,7 +297,7 @@ def recipe_prepare(spark: SparkSession, d: str) -> DataFrame:
     outs = e.where("event_type = 'purchase'").where("ts <= TIMESTAMP_NTZ '2024-01-20 00:00:00'").select("user_id", hour.alias("bought_at"), F.col("ts").alias("updated_at"), F.lit(1).alias("bought"), "event_id")
     recipe = BusinessRecipe("purchase", "user_id", "scored_at", "period", "segment", ("value",), "score", "bought", "bought_at", timedelta(days=3))
     made = recipe.prepare({"snapshots": snaps, "outcomes": outs}, as_of=datetime(2024, 1, 20), order="event_id")
-    return rounded(made.alignment.data.select("user_id", "scored_at", "score", "aligned_outcome", "outcome_status"))
+    return rounded(made.alignment.data.select("user_id", "scored_at", "score", F.col("aligned_outcome").cast("double").alias("aligned_outcome"), "outcome_status"))
 
 
 # --- actions ------------------------------------------------------------------------------------

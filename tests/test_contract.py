@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 
 from gaugewright.cli import BAD_INPUT, NOT_VALIDATED, OK, WARNING, main
@@ -30,7 +31,7 @@ def test_some_queries_against_sql(spark, name):
     got = own.QUERIES[name](spark, data)
     want = con.execute(own.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    cells = lambda rows: sorted([tuple("" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, (int, float)) else str(v) for v in r) for r in rows])
+    cells = lambda rows: sorted([tuple("" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, (int, float)) else str(v) for v in r) for r in rows])
     names = sorted(got.columns)
     assert cells(got.select(*names).toPandas().itertuples(index=False)) == cells(want[names].itertuples(index=False))
 
