@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
+#: Rows of an Arrow batch to and from Python workers; texts are long, so Spark's own default takes much memory.
+ARROW_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -39,6 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The written table survives lost executors and cuts the lineage, which ``localCheckpoint`` doesn't.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
