@@ -3,7 +3,7 @@
 Text nodes are grouped by the path of tags from the root. Each path has a text ratio (characters per
 node) and a punctuation ratio; both are smoothed over the paths in page order, fused into one score by
 their geometric mean, and paths above the threshold (a share of the scores' standard deviation) hold content nodes. The
-smallest container that has most of the content nodes' text is the article; it is widened to the
+smallest element that has all content nodes is the article; it is widened to the
 ``article`` or ``main`` element around it. All text blocks of that element are kept but for elements
 that are no article text by their kind (menus, headers, footers, sidebars, forms, scripts) or by the
 words of their class, id or role (adverts, notices, comments). Those take no part in the ratios either.
@@ -43,9 +43,6 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main bo
 #: Share of the standard deviation of the fused scores that a content path has at least.
 THRESHOLD = 0.5
 
-#: Share of the content nodes' text that the article has more than.
-MOST = 0.85
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -145,14 +142,15 @@ def content_paths(elements: list[Element], texts: list[TextNode]) -> set[str]:
 
 
 def article_element(elements: list[Element], texts: list[TextNode]) -> int:
+    """The lowest element that holds all content nodes, or the outermost ``article`` or ``main`` around it."""
     chosen = content_paths(elements, texts)
+    holders = {t.element for t in texts if t.text.strip() and elements[t.element].path in chosen}
     weight = [0] * len(elements)
-    for t in texts:
-        if elements[t.element].path in chosen:
-            weight[t.element] += len(t.text.strip())
+    for k in holders:
+        weight[k] = 1
     for k in range(len(elements) - 1, 0, -1):
         weight[elements[k].parent] += weight[k]
-    best = max((k for k in range(len(elements)) if weight[k] > MOST * weight[0]), default=0)  # the deepest comes last
+    best = max((k for k in range(len(elements)) if weight[k] == len(holders)), default=0)  # the deepest comes last
     while elements[best].tag in TEXT_LEVEL:
         best = elements[best].parent
     at = best

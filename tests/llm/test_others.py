@@ -106,6 +106,14 @@ def test_html():
     assert html_text.main_text("<p>a < b &lt; c<br>d</p>") == "a < b < c d"
 
 
+def test_html_content_in_several_containers():
+    lead, long = "A lead, with a few words of its own, that counts.", "A long paragraph, full of words, and of commas; it goes on, and on."
+    page = f"<body><div id=wrap><h1>T</h1><div class=lead><p>{lead}</p></div><div class=body>{f'<p>{long}</p>' * 9}</div></div></body>"
+    assert html_text.main_text(page) == "\n".join(["T", lead, *[long] * 9])
+    page = f"<body><div><section><p>{lead}</p></section><article>{f'<p>{long}</p>' * 9}</article></div></body>"
+    assert html_text.main_text(page) == "\n".join([lead, *[long] * 9])
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE)]
     got = html_text.extract_pages(pages(spark, rows)).collect()
