@@ -4,9 +4,10 @@ Text nodes are grouped by the path of tags from the root. Each path has a text r
 node) and a punctuation ratio; both are smoothed over the paths in page order, fused into one score by
 their geometric mean, and paths above the threshold (a share of the scores' standard deviation) hold content nodes. The
 smallest element that has all content nodes is the article; it is widened to the
-``article`` or ``main`` element around it. All text blocks of that element are kept but for elements
+``article`` or ``main`` element around it. Of its text blocks, those with content nodes are kept, those between
+them or in the same container as one of them, and headings. Elements
 that are no article text by their kind (menus, headers, footers, sidebars, forms, scripts) or by the
-words of their class, id or role (adverts, notices, comments). Those take no part in the ratios either.
+words of their class, id or role (adverts, notices, comments) take no part, in the ratios either.
 
 Cases: a null or empty html, or a page without such text, gives an empty text; unclosed and stray tags
 are borne; rows repeated are repeated in the result; a null identifier or url stays null; further
@@ -30,6 +31,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe button select option textarea input svg canvas object embed audio video map head title menu dialog noembed noframes xmp math".split())
 TEXT_LEVEL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption td th tr tbody table".split())
+#: Their text belongs to the container around them.
+CARRIED = TEXT_LEVEL | frozenset("section thead tfoot caption details summary address hgroup".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_LEFT_OUT = frozenset("html body main article".split())
 # Words of class, id and role that mark what is no article text.
 MARKS = frozenset(
@@ -141,9 +145,8 @@ def content_paths(elements: list[Element], texts: list[TextNode]) -> set[str]:
     return {p for p, x in zip(paths, fused, strict=True) if x >= THRESHOLD * deviation}
 
 
-def article_element(elements: list[Element], texts: list[TextNode]) -> int:
+def article_element(elements: list[Element], texts: list[TextNode], chosen: set[str]) -> int:
     """The lowest element that holds all content nodes, or the outermost ``article`` or ``main`` around it."""
-    chosen = content_paths(elements, texts)
     holders = {t.element for t in texts if t.text.strip() and elements[t.element].path in chosen}
     weight = [0] * len(elements)
     for k in holders:
@@ -161,18 +164,47 @@ def article_element(elements: list[Element], texts: list[TextNode]) -> int:
     return best
 
 
+def kept_blocks(elements: list[Element], texts: list[TextNode], chosen: set[str]) -> set[int]:
+    """Blocks with content nodes; those between them or in a container of theirs; first-level headings; headings of what is kept."""
+    container, heading = [0] * len(elements), [""] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        container[k] = container[e.parent] if e.tag in CARRIED else k
+        heading[k] = e.tag if e.tag in HEADINGS else heading[e.parent] if e.tag in INLINE else ""
+    first: dict[int, int] = {}
+    content: set[int] = set()
+    for t in texts:
+        if t.text.strip():
+            first.setdefault(t.block, t.element)
+            if elements[t.element].path in chosen:
+                content.add(t.block)
+    if not content:
+        return set()
+    around = {container[first[b]] for b in content}
+    low, high = min(content), max(content)
+    kept, follows = set(), False
+    for b in reversed(first):
+        inside = b in content or low < b < high or container[first[b]] in around
+        if inside or heading[first[b]] == "h1" or (heading[first[b]] and follows):
+            kept.add(b)
+        if not heading[first[b]]:
+            follows = inside
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line feeds."""
     if not page:
         return ""
     elements, texts = parse(page)
-    root = article_element(elements, texts)
+    chosen = content_paths(elements, texts)
+    root = article_element(elements, texts, chosen)
     inside = [k == root for k in range(len(elements))]
     for k in range(root + 1, len(elements)):
         inside[k] = inside[elements[k].parent]
+    kept = kept_blocks(elements, texts, chosen)
     blocks: dict[int, list[str]] = {}
     for t in texts:
-        if inside[t.element]:
+        if inside[t.element] and t.block in kept:
             blocks.setdefault(t.block, []).append(t.text)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -114,6 +114,15 @@ def test_html_content_in_several_containers():
     assert html_text.main_text(page) == "\n".join([lead, *[long] * 9])
 
 
+def test_html_scores_decide_inside_the_article():
+    long = "A long paragraph, full of words, and of commas; it goes on, and on."
+    box = "<div><h3>Read on</h3><ul><li><a>One</a><li><a>Two</a></ul><div><span>Send</span></div><div><label>Mail</label><b>Go</b></div></div>"
+    page = f"<body><article>{{}}<div><h1>T</h1><i>By x</i></div>{f'<p>{long}</p>' * 5}<h2>S</h2><div><pre>x = 1</pre></div><p>{long}</p><ul><li>one</ul>{box}</article>"
+    for before in ("", "<div><ul><li><a>Top</a><li><a>New</a></ul></div>"):
+        lines = html_text.main_text(page.format(before)).split("\n")
+        assert [x for x in lines if x not in ("By x", "Top", "New")] == ["T", *[long] * 5, "S", "x = 1", long, "one"]
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE)]
     got = html_text.extract_pages(pages(spark, rows)).collect()
