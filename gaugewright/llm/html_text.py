@@ -5,9 +5,11 @@ node) and a punctuation ratio; both are smoothed over the paths in page order, f
 their geometric mean, and paths above the threshold (a share of the scores' standard deviation) hold content nodes. The
 smallest element that has all content nodes is the article; it is widened to the
 ``article`` or ``main`` element around it. Of its text blocks, those with content nodes are kept, those between
-them or in the same container as one of them, and headings. Elements
-that are no article text by their kind (menus, headers, footers, sidebars, forms, scripts) or by the
-words of their class, id or role (adverts, notices, comments) take no part, in the ratios either.
+them or in the same container as one of them, and headings. Elements that are no article text by their kind
+(menus, headers, footers, sidebars, scripts) take no part, in the ratios either. Nor do forms and elements that
+words of their class, id or role mark (adverts, notices, comments), unless one holds more than half of
+the content nodes' text, or nothing else has text; words like ``has-sidebar`` and identifiers of headings and sections
+(but for readers' comments) are no marks.
 
 Cases: a null or empty html, or a page without such text, gives an empty text; unclosed and stray tags
 are borne; rows repeated are repeated in the result; a null identifier or url stays null; further
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe button select option textarea input svg canvas object embed audio video map head title menu dialog noembed noframes xmp math".split())
+LEFT_OUT = frozenset("nav header footer aside script style noscript template iframe button select option textarea input svg canvas object embed audio video map head title menu dialog noembed noframes xmp math".split())
 TEXT_LEVEL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption td th tr tbody table".split())
 #: Their text belongs to the container around them.
 CARRIED = TEXT_LEVEL | frozenset("section thead tfoot caption details summary address hgroup".split())
@@ -41,6 +43,12 @@ MARKS = frozenset(
     "sidebar aside complementary footer header masthead contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social comment comments commentlist disqus respond replies discussion related recommended recommendations widget pagination pager toolbar copyright legal disclaimer search".split()
 )
+#: Of these, also the identifier of a section marks it; other words name what a section is about.
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
+#: An identifier marks its element if all its words are marks or of these.
+PLACES = frozenset("site page top bottom left right upper lower inner outer wrap wrapper container box area section block list form bar row column col panel button buttons link links item items group holder slot unit div google".split())
+#: A name of a class that begins with one of these says what the page has, not what the element is.
+MODIFIERS = frozenset("has no not non with without".split())
 #: These end an open element of their kind, as parsers of HTML do.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main body html blockquote".split())
@@ -59,6 +67,8 @@ class Element:
     parent: int
     path: str
     left_out: bool
+    #: A form, or marked by its words: left out too unless it holds most of the content nodes' text.
+    doubtful: bool
 
 
 @dataclass(slots=True)
@@ -68,13 +78,24 @@ class TextNode:
     text: str
 
 
-def marked(attributes: str) -> bool:
-    return any(w.lower() in MARKS for m in _ATTRIBUTE.findall(attributes) for w in _WORD.findall(m[1] or m[2] or m[3]))
+def marked(tag: str, attributes: str) -> bool:
+    """Whether words of class, id or role mark the element as no article text."""
+    found: dict[str, list[list[str]]] = {}
+    for m in _ATTRIBUTE.findall(attributes):
+        found[m[0].lower()] = [[w.lower() for w in _WORD.findall(name)] for name in (m[1] or m[2] or m[3]).split()]
+    if any(w in MARKS for kind in ("class", "role") for name in found.get(kind, ()) if name and name[0] not in MODIFIERS for w in name):
+        return True
+    named = [w for name in found.get("id", ()) for w in name]
+    if tag in HEADINGS or not named or named[0] in MODIFIERS:
+        return False
+    if tag == "section" or ["section"] in found.get("class", ()):
+        return named[0] in READERS
+    return any(w in MARKS for w in named) and all(w in MARKS or w in PLACES for w in named)
 
 
 def parse(page: str) -> tuple[list[Element], list[TextNode]]:
     """Elements, each with its parent's number, and text nodes, each with the number of its block."""
-    elements = [Element("", -1, "", False)]
+    elements = [Element("", -1, "", False, False)]
     texts: list[TextNode] = []
     stack = [0]
     block = at = 0
@@ -109,8 +130,8 @@ def parse(page: str) -> tuple[list[Element], list[TextNode]]:
             if over in SCOPES:
                 break
         above = elements[stack[-1]]
-        out = above.left_out or tag in LEFT_OUT or (tag not in NEVER_LEFT_OUT and marked(found[3]))
-        elements.append(Element(tag, stack[-1], f"{above.path}/{tag}", out))
+        doubtful = tag == "form" or (tag not in NEVER_LEFT_OUT and marked(tag, found[3]))
+        elements.append(Element(tag, stack[-1], f"{above.path}/{tag}", above.left_out or tag in LEFT_OUT, doubtful))
         if found[3].endswith("/") and tag in LEFT_OUT:
             continue
         if tag in RAW:
@@ -145,6 +166,24 @@ def content_paths(elements: list[Element], texts: list[TextNode]) -> set[str]:
     return {p for p, x in zip(paths, fused, strict=True) if x >= THRESHOLD * deviation}
 
 
+def without_doubtful(elements: list[Element], texts: list[TextNode]) -> list[TextNode]:
+    """The text nodes outside doubtful elements, but for elements that hold more than half of the content nodes' text; all nodes if no others are left."""
+    if not any(e.doubtful for e in elements):
+        return texts
+    chosen = content_paths(elements, texts)
+    weight = [0] * len(elements)
+    for t in texts:
+        if elements[t.element].path in chosen:
+            weight[t.element] += len(t.text.strip())
+    for k in range(len(elements) - 1, 0, -1):
+        weight[elements[k].parent] += weight[k]
+    out = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        out[k] = out[e.parent] or (e.doubtful and 2 * weight[k] <= weight[0])
+    rest = [t for t in texts if not out[t.element]]
+    return rest if any(t.text.strip() for t in rest) else texts
+
+
 def article_element(elements: list[Element], texts: list[TextNode], chosen: set[str]) -> int:
     """The lowest element that holds all content nodes, or the outermost ``article`` or ``main`` around it."""
     holders = {t.element for t in texts if t.text.strip() and elements[t.element].path in chosen}
@@ -196,6 +235,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     elements, texts = parse(page)
+    texts = without_doubtful(elements, texts)
     chosen = content_paths(elements, texts)
     root = article_element(elements, texts, chosen)
     inside = [k == root for k in range(len(elements))]

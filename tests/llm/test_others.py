@@ -123,6 +123,20 @@ def test_html_scores_decide_inside_the_article():
         assert [x for x in lines if x not in ("By x", "Top", "New")] == ["T", *[long] * 5, "S", "x = 1", long, "one"]
 
 
+@pytest.mark.parametrize("opened", ['div class="layout has-sidebar"', 'div class="page no-comments"', "div class='cookie-page'", "form id=aspnet", "div id=search"])
+def test_html_marks_around_the_article(opened):
+    long = "A long paragraph, full of words, and of commas; it goes on, and on."
+    page = f"<body><{opened}><h1>T</h1>{f'<p>{long}</p>' * 5}<div class=ad>Buy this, it is good.</div></{opened.split()[0]}></body>"
+    assert html_text.main_text(page) == "\n".join(["T", *[long] * 5])
+
+
+def test_html_marks_are_not_topics():
+    long = "A long paragraph, full of words, and of commas; it goes on, and on."
+    parts = ["<section id=discussion>{}</section>", "<div class=section id=search>{}</div>", "<div id=search-algorithms>{}</div>", "<h2 id=related-work>W</h2>{}"]
+    page = f"<body><article><h1>T</h1><p>{long}</p>{''.join(p.format(f'<p>{long}</p>') for p in parts)}<div id=sidebar-left>{long}</div><section id=comments>{long}</section></article></body>"
+    assert html_text.main_text(page) == "\n".join(["T", *[long] * 4, "W", long])
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE)]
     got = html_text.extract_pages(pages(spark, rows)).collect()
