@@ -4,8 +4,8 @@ One model of order 5 per language, over the characters of lower-cased words with
 N-grams of all languages and orders stand in sorted arrays of 64-bit hashes; beside each hash lie, per
 language, its discounted probability and its weight as a context. A word's log probabilities are worked
 out once per worker and looked up by the word's hash after that. A text's cross-entropy per character
-under each language decides; the best one is compared with what held-back training texts have, and texts
-far above that are rejected.
+under each language decides; the best one is compared with what most held-back training texts of that language
+have, and texts far above that are rejected.
 
 Training takes a bounded sample: about ``per_language`` documents of each language, chosen by a hash of
 the identifier; counting and scoring cover whole texts. The model is bounded by the sample, and its
@@ -37,6 +37,12 @@ PER_LANGUAGE = 1500
 MODEL_BYTES = 256 << 20
 #: Words whose scores a worker keeps.
 WORDS = 1_500_000
+#: Share of held-back texts whose cross-entropy is at most the one that limits start from: a few noisy rows don't move it.
+QUANTILE = 0.95
+#: Held-back texts that a quantile takes at least.
+LEAST_BACK = 20
+#: Nats that a text of any length may have beyond its limit: about what a key of 16 letters costs more than words do.
+MARGIN = 40.0
 #: Characters scanned at once.
 SEGMENT = 1 << 20
 EDGE, END = 1, 2  # stand before and after each word; no letters have these codes
@@ -124,8 +130,8 @@ class Model:
     #: Of the empty context.
     start: np.ndarray
     uniform: float
-    #: Cross-entropy per character beyond which a text is rejected.
-    limit: float = float("inf")
+    #: Of each language, the cross-entropy per character beyond which a text is rejected, but for MARGIN.
+    limits: np.ndarray | None = None
 
     def size(self) -> int:
         return sum(a.nbytes for group in (self.grams, self.direct, self.weight) for a in group)
@@ -252,6 +258,7 @@ class Scorer:
         """Of each text: language, score from 0 to 1, cross-entropy per character, whether it is rejected."""
         if not self.model.languages:
             return [("und", 0.0, None, True)] * len(texts)
+        limits = self.model.limits
         sums, chars = self.totals(texts)
         out: list[tuple[str, float, float | None, bool]] = []
         for row, n in zip(sums, chars, strict=True):
@@ -261,7 +268,7 @@ class Scorer:
             entropy = -row / n
             best = int(np.argmin(entropy))
             score = 1.0 / float(np.exp((entropy[best] - entropy) * min(n, 40.0)).sum())
-            out.append((self.model.languages[best], min(1.0, max(0.0, score)), float(entropy[best]), bool(entropy[best] > self.model.limit)))
+            out.append((self.model.languages[best], min(1.0, max(0.0, score)), float(entropy[best]), limits is not None and bool(entropy[best] > limits[best] + MARGIN / n)))
         return out
 
 
@@ -276,8 +283,8 @@ def fold(id_col: str):
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, slack: float = 2.0) -> Model:
     """Learn from rows with a language whose fold isn't 0.
 
-    A tenth of the sample is held back from the counts; a text is rejected above ``slack`` times the
-    largest cross-entropy of those held back of 40 letters or more.
+    A tenth of all rows is held back from the counts; a text is rejected above ``slack`` times the
+    QUANTILE of the cross-entropies of those held back of 40 letters or more, by language.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 0))
     sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}  # as many rows as languages
@@ -287,7 +294,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     for language, n in sizes.items():
         rate = F.when(F.col("_lang") == language, F.lit(min(1 << 20, (per_language << 20) // n + 1))).otherwise(rate)
     spread = F.xxhash64(F.lit(7), "_id")
-    sample = rows.where(F.pmod(spread, F.lit(1 << 20)) < rate).withColumn("_back", F.pmod(F.shiftright(spread, 20), F.lit(10)) == 0)
+    rows = rows.withColumn("_back", F.pmod(F.shiftright(spread, 20), F.lit(10)) == 0)
+    sample = rows.where(F.pmod(spread, F.lit(1 << 20)) < rate)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], int] = {}
@@ -316,14 +324,26 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     parts = found.groupBy("lang").applyInArrow(learn, "lang string, part binary").collect()  # a language's words are bounded by its sample
     model = assemble({r["lang"]: pickle.loads(r["part"]) for r in parts})
-    back = sample.where("_back").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"))
-    chars = F.length(F.regexp_replace("text", r"\P{L}", ""))
-    worst = apply(back.where(chars >= 40), model).agg(F.max("entropy")).first()[0]
-    if worst is not None:
-        model.limit = slack * worst
+    back = rows.where("_back").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"))
+    calibrate(model, back, slack)
     return model
 
 
+def calibrate(model: Model, back: DataFrame, slack: float) -> None:
+    """Sets the limits. A language with few held-back rows gets the limit of all rows together; with few in all, the worst row counts, or at most a model that knows nothing but the letters."""
+    chars = F.length(F.regexp_replace("text", r"\P{L}", ""))
+    scored = apply(back.where(chars >= 40), model).groupBy("lang_pred").agg(F.count("entropy").alias("n"), F.max("entropy").alias("worst"), F.percentile_approx("entropy", [k / 100 for k in range(1, 101)], 10_000).alias("at"))
+    found = {r["lang_pred"]: r for r in scored.collect()}  # as many rows as languages
+    if (total := sum(r["n"] for r in found.values())) >= LEAST_BACK:
+        values, weights = [x for r in found.values() for x in r["at"]], [r["n"] for r in found.values() for _ in r["at"]]
+        order = np.argsort(values)
+        share = np.cumsum(np.array(weights)[order]) / (100 * total)
+        pooled = values[order[np.searchsorted(share, QUANTILE - 1e-9)]]
+    else:
+        pooled = min([-np.log(model.uniform), *([max(r["worst"] for r in found.values())] if total else [])])
+    model.limits = slack * np.array([found[k]["at"][round(100 * QUANTILE) - 1] if k in found and found[k]["n"] >= LEAST_BACK else pooled for k in model.languages])
+
+
 def scoring(spark, model: Model):
     """A function for executors: from a column of texts to lists of judgements, a list for every 1024 texts. The model is broadcast."""
     if model.size() > MODEL_BYTES:
