@@ -1,20 +1,26 @@
 """Conversations without quotations, in the order of replies.
 
-Lines that begin with ``>`` are quotations; their level is the number of marks. Each quoted line is
-normalised (marks off, white space as one space, lower case) and hashed, and joined within its
-conversation to the first message that has the line as its own. The message that most quoted characters
-of the outermost level come from is the parent (if levels further in only are found, theirs). Messages are then ordered by the
+Lines that begin with ``>`` are quotations; their level is the number of marks. Consecutive lines of one level
+are a passage: marks off, white space and line breaks as one space, lower case. Every run of WINDOW words
+of a passage is hashed, so it doesn't matter where lines were broken, and joined within its conversation to the first
+message that has the run in its own passages. Passages and lines of fewer words are hashed whole, and found as a passage, line or sentence. The
+message that most quoted characters of the outermost level come from, by runs first, is the parent (if levels further in only are found, theirs). Messages are then ordered by the
 turns on their way from the first message of their thread, so replies follow what they reply to.
 
 Positions are counted over ranges of the order, so no task holds a conversation, however long.
 
 Cases: a null text counts as empty; a null conversation or turn has no parent and isn't one; rows that share conversation
 and turn share a parent and follow one another; a line is never linked to its own or a later turn;
-lines of white space are no passages; further columns are not read.
+a quoted line of white space divides no passage; further columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +32,14 @@ MARKS = r"^([ \t]*>)+[ \t]?"
 INTRODUCTION = r"(?i)^[ \t]*(on|am|le|el)\b.*\b(wrote|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$"
 
 
-def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"\s+", " ")))
-
+#: Words hashed together.
+WINDOW = 5
+#: Parts that a conversation's messages are dealt to at most, where its quoted ones are looked for.
+PARTS = 16
+#: Hashes returned at once.
+ROWS = 20_000
 
-def level(line: Column) -> Column:
-    marks = F.regexp_extract(line, r"^(?:[ \t]*>)*", 0)
-    return (F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))).cast("int")
+_MARKS, _SENTENCE = re.compile(MARKS), re.compile(r"(?<=[.!?…。！？])\s+")
 
 
 def own_text(text: Column) -> Column:
@@ -43,24 +50,69 @@ def own_text(text: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(own, lambda p: p["line"]), "\n"), r"^\s+|\s+$", "")
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``level``, ``hash`` and ``chars`` of each line that isn't blank."""
-    lines = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return lines.select("conv_id", "turn", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("line")).where("line <> ''").select("conv_id", "turn", "level", F.sha2("line", 256).alias("hash"), F.length("line").alias("chars"))
+def units(text: str) -> Iterator[tuple[int, bool, str]]:
+    """Level, whether it is a run of WINDOW words, and the words, of all that is hashed of a message."""
+    runs: list[tuple[int, list[str]]] = []
+    for line in text.split("\n"):
+        marks = _MARKS.match(line)
+        level = marks[0].count(">") if marks else 0
+        plain = " ".join(line[marks.end() if marks else 0 :].lower().split())
+        if not runs or runs[-1][0] != level:
+            if not plain:
+                continue
+            runs.append((level, []))
+        if plain:
+            runs[-1][1].append(plain)
+    for level, lines in runs:
+        words = " ".join(lines).split()
+        for k in range(len(words) - WINDOW + 1):
+            yield level, True, " ".join(words[k : k + WINDOW])
+        short = {*lines, " ".join(words)} if level else {*lines, " ".join(words), *(x for y in lines for x in _SENTENCE.split(y)), *_SENTENCE.split(" ".join(words))}
+        yield from ((level, False, x) for x in short if x.count(" ") < WINDOW - 1)
+
+
+def passages(messages: DataFrame, quoted: bool) -> DataFrame:
+    """``conv_id``, ``turn``, ``level``, ``run``, ``hash`` and ``chars`` of what is hashed, of quotations or of own text."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["conv_id", "turn", "level", "run", "hash", "chars"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64()]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for conversation, turn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for level, run, words in units(text):
+                    if (level > 0) == quoted:
+                        rows.append((conversation, turn, level, run, hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(words)))
+                        if len(rows) >= ROWS:
+                            yield out()
+                            rows.clear()
+        if rows:
+            yield out()
+
+    return messages.select("conv_id", "turn", "text").mapInArrow(hashed, "conv_id long, turn long, level int, run boolean, hash binary, chars long")
 
 
 def quotation_links(messages: DataFrame) -> DataFrame:
-    """Quoted lines by origin: ``conv_id``, ``turn``, ``level``, ``source`` (the earlier turn whose own line it is) and ``chars``."""
-    lines = passages(messages)
-    quoted = materialize(lines.where("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.sum("chars").alias("chars")), "quotes")
-    origins = lines.where("level = 0").join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    """Quotations by origin: ``conv_id``, ``turn``, ``level``, ``source`` (the first turn whose own text it is), ``chars`` of runs and ``short_chars``."""
+    told = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    quoting = told.where(F.col("text").rlike("(?m)" + QUOTED))
+    quoted = materialize(passages(quoting, True).groupBy("conv_id", "turn", "level", "run", "hash").agg(F.sum("chars").alias("chars")), "quotes")
+    part = F.pmod(F.xxhash64("turn"), F.lit(PARTS))
+    where = quoted.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part"))
+    near = told.withColumn("_part", part).join(where, ["conv_id", "_part"], "left_semi")
+    origins = passages(near, False).join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     origins = materialize(origins, "quote-origins")
-    return quoted.join(origins, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "level", "source").agg(F.sum("chars").alias("chars"))
+    chars, short = F.sum(F.when(F.col("run"), F.col("chars")).otherwise(0)), F.sum(F.when(F.col("run"), 0).otherwise(F.col("chars")))
+    return quoted.join(origins, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "level", "source").agg(chars.alias("chars"), short.alias("short_chars"))
 
 
 def parents(links: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn`` and ``parent``: by the outermost level, then characters, then the latest turn."""
-    return links.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "chars", "source"))["source"].alias("parent"))
+    """``conv_id``, ``turn`` and ``parent``: by the outermost level, then characters of runs, of shorter ones, then the latest turn."""
+    return links.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "chars", "short_chars", "source"))["source"].alias("parent"))
 
 
 def reply_paths(nodes: DataFrame) -> DataFrame:

@@ -216,6 +216,20 @@ def test_quotations(spark):
     assert quotations.reply_order(df.where("false")).count() == 0
 
 
+def test_quotations_wrapped_anew(spark):
+    long = "The shelf in the hall holds the keys, the lamp and a box of old letters from the north. Thanks."
+    talk = [
+        (1, 0, "Thanks."),
+        (1, 1, long),
+        (1, 2, "> The shelf in the hall holds the keys, the\n> lamp and a box of old\n> letters from the north.\n> Thanks.\nWhich keys do you mean, the ones\nof the cellar or those of the attic?"),
+        (1, 3, ">> The shelf in the hall holds\n>> the keys, the lamp and a box\n> Which keys do you mean, the ones of the\n>\n> cellar or those\n> of the attic?\nBoth."),
+        (1, 4, "> > Which keys do\n> > you mean, the ones of the cellar or\n> Both.\nGood."),
+    ]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))
+    got = {r["turn"]: (r["parent_turn"], r["depth"]) for r in quotations.reply_order(df).collect()}
+    assert got == {0: (None, 0), 1: (None, 0), 2: (1, 1), 3: (2, 2), 4: (3, 3)}
+
+
 def test_contract_columns():
     from gaugewright.llm.queries import ORACLE_SQL, QUERIES
 
