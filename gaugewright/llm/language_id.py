@@ -283,7 +283,8 @@ def fold(id_col: str):
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, slack: float = 2.0) -> Model:
     """Learn from rows with a language whose fold isn't 0.
 
-    A tenth of all rows is held back from the counts; a text is rejected above ``slack`` times the
+    A tenth of all rows is held back from the counts of a first model; the model that is returned, with the limits of the first, also counts those
+    that the sample has. A text is rejected above ``slack`` times the
     QUANTILE of the cross-entropies of those held back of 40 letters or more, by language.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 0))
@@ -298,41 +299,47 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     sample = rows.where(F.pmod(spread, F.lit(1 << 20)) < rate)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[tuple[str, str, bool], int] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+            columns = zip(*(([*k, n]) for k, n in counts.items()), strict=True) if counts else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64()), strict=True)], ["lang", "word", "back", "n"])
 
         for batch in batches:
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for language, text, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for codes, _, starts, ends, _ in scanner().words([text]):
                     whole = codes.tobytes().decode("utf-32-le", "surrogatepass")
                     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                        key = (language, whole[a:b])
+                        key = (language, whole[a:b], back)
                         counts[key] = counts.get(key, 0) + 1
             if len(counts) > 200_000:
                 yield out()
                 counts.clear()
         yield out()
 
-    words = sample.where(~F.col("_back")).select("_lang", "_text").mapInArrow(tally, "lang string, word string, n long")
-    found = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.select("_lang", "_text", "_back").mapInArrow(tally, "lang string, word string, back boolean, n long")
+    found = words.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("back"), 0).otherwise(F.col("n"))).alias("first"))
 
     def learn(key: tuple, group: pa.Table) -> pa.Table:
-        part = language_part(group.column("word").to_pylist(), group.column("n").to_pylist())
-        return pa.table({"lang": [key[0].as_py()], "part": pa.array([pickle.dumps(part)], pa.binary())})
+        names, n, first = (group.column(c).to_pylist() for c in ("word", "n", "first"))
+        some = [k for k, c in enumerate(first) if c]
+        parts = [language_part(names, n), language_part([names[k] for k in some], [first[k] for k in some]) if some else None]
+        return pa.table({"lang": [key[0].as_py()], "part": pa.array([pickle.dumps(parts[0])], pa.binary()), "first": pa.array([pickle.dumps(parts[1])], pa.binary())})
 
-    parts = found.groupBy("lang").applyInArrow(learn, "lang string, part binary").collect()  # a language's words are bounded by its sample
+    parts = found.groupBy("lang").applyInArrow(learn, "lang string, part binary, first binary").collect()  # a language's words are bounded by its sample
     model = assemble({r["lang"]: pickle.loads(r["part"]) for r in parts})
+    first = assemble({r["lang"]: part for r in parts if (part := pickle.loads(r["first"]))})
+    if not model.languages:
+        return model
     back = rows.where("_back").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"))
-    calibrate(model, back, slack)
+    model.limits = limits(first, back, slack, model)
     return model
 
 
-def calibrate(model: Model, back: DataFrame, slack: float) -> None:
-    """Sets the limits. A language with few held-back rows gets the limit of all rows together; with few in all, the worst row counts, or at most a model that knows nothing but the letters."""
+def limits(first: Model, back: DataFrame, slack: float, model: Model) -> np.ndarray:
+    """Of each language of ``model``, from what ``first``, which hasn't seen them, says of held-back rows. A language with few held-back rows gets the limit of all rows together; with few in all, the worst row counts, or at most a model that knows nothing but the letters."""
     chars = F.length(F.regexp_replace("text", r"\P{L}", ""))
-    scored = apply(back.where(chars >= 40), model).groupBy("lang_pred").agg(F.count("entropy").alias("n"), F.max("entropy").alias("worst"), F.percentile_approx("entropy", [k / 100 for k in range(1, 101)], 10_000).alias("at"))
+    scored = apply(back.where(chars >= 40), first).groupBy("lang_pred").agg(F.count("entropy").alias("n"), F.max("entropy").alias("worst"), F.percentile_approx("entropy", [k / 100 for k in range(1, 101)], 10_000).alias("at"))
     found = {r["lang_pred"]: r for r in scored.collect()}  # as many rows as languages
     if (total := sum(r["n"] for r in found.values())) >= LEAST_BACK:
         values, weights = [x for r in found.values() for x in r["at"]], [r["n"] for r in found.values() for _ in r["at"]]
@@ -341,7 +348,7 @@ def calibrate(model: Model, back: DataFrame, slack: float) -> None:
         pooled = values[order[np.searchsorted(share, QUANTILE - 1e-9)]]
     else:
         pooled = min([-np.log(model.uniform), *([max(r["worst"] for r in found.values())] if total else [])])
-    model.limits = slack * np.array([found[k]["at"][round(100 * QUANTILE) - 1] if k in found and found[k]["n"] >= LEAST_BACK else pooled for k in model.languages])
+    return slack * np.array([found[k]["at"][round(100 * QUANTILE) - 1] if k in found and found[k]["n"] >= LEAST_BACK else pooled for k in model.languages])
 
 
 def scoring(spark, model: Model):
@@ -383,8 +390,10 @@ def identify(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs``, all columns, without the rows whose text is rejected."""
+    """``docs``, all columns, without the rows whose text is rejected; with nothing to learn from, only those without a letter go."""
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not model.languages:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     judged, place = scoring(docs.sparkSession, model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
