@@ -1,21 +1,24 @@
 """Exact top-k search by inner product over vectors sorted by length.
 
 Candidates lie in blocks by descending length, queries in blocks of their own; a task takes one of each,
-so neither side has to fit into one place. Vectors are rotated by the singular vectors of a bounded
-sample, which puts most of their length into the first components. Against a query's k-th best score so
-far:
+so neither side has to fit into one place. Vectors are rotated by the leading singular vectors of a bounded
+sample, which puts most of their length into the first components; what length is left follows from the whole
+one. Against a query's k-th best score so far:
 
 * a block is left out if the product of lengths can't reach it (Cauchy-Schwarz),
 * a pair is left out if the partial sum over the first rotated components plus the product of the
   remaining lengths can't,
 * for the others the score is computed from the integers themselves, so results are exact.
 
-The longest block is searched first for all queries and gives them their first k-th best scores.
+The longest vectors are searched first for all queries. The blocks after them follow in rounds, each with several times
+as many blocks as the one before; after each round a query's k-th best score is that of all rounds so far.
 
 Cases: vectors that are null or hold a null or a component that isn't finite take no part; vectors of
 different dimensions count as padded with zeros; equal scores go to the smaller identifier; a query is
 never its own neighbour (by identifier), rows that share an identifier are candidates each on their own;
+query rows that share an identifier share one list, of the best of all their pairs;
 null identifiers take no part; with fewer than k candidates all are returned; further columns are not read.
+Vectors so long that a score may not fit into 64 bits (a squared length of 2**63 or more) are refused.
 """
 
 from __future__ import annotations
@@ -29,14 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.session import materialize
+from gaugewright.session import bound_batches, materialize, temporary
 
 #: Vectors in a block of candidates and of queries, and in a step within a task.
 BLOCK, QUERIES, STEP = 8192, 4096, 1024
+#: Bytes of a block at most; longer vectors make smaller blocks.
+BLOCK_BYTES = 32 << 20
 #: Vectors that the rotation is fitted on, about.
 SAMPLE = 16_384
 #: Rotated components of the partial sums.
 LEADING = 16
+#: Blocks of the first round after the longest vectors, and how many times as many each later round has.
+ROUND, GROWTH = 8, 8
+#: Bytes of the list of blocks that is broadcast, at most.
+LIST_BYTES = 256 << 20
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -57,32 +66,35 @@ def matrix(lists: pa.Array, dimension: int) -> np.ndarray:
     return out
 
 
+def lengths(vectors: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each vector: its length, its leading rotated components, and the length of the rest."""
+    lead = vectors @ rotation
+    squared = (vectors.astype(np.float64) ** 2).sum(axis=1)
+    return np.sqrt(squared), lead, np.sqrt(np.maximum(squared - (lead**2).sum(axis=1), 0.0))
+
+
 class Search:
     """The k best of all candidates seen so far, for one block of queries."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.exact, self.rotation, self.k = ids, vectors, rotation, k
-        self.rotated = vectors @ rotation
-        self.norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
-        self.tail = np.sqrt((self.rotated[:, LEADING:] ** 2).sum(axis=1))
+        self.norm, self.lead, self.tail = lengths(vectors, rotation)
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
         self.hits = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))  # query's row, candidate, score
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Search candidates in order of descending length."""
-        norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
         for at in range(0, len(ids), STEP):
-            if not self._step(ids[at : at + STEP], vectors[at : at + STEP], norm[at : at + STEP]):
+            if not self._step(ids[at : at + STEP], vectors[at : at + STEP]):
                 return
 
-    def _step(self, ids: np.ndarray, vectors: np.ndarray, norm: np.ndarray) -> bool:
-        slack = 1e-6 + 1e-9 * self.norm * norm[0]
+    def _step(self, ids: np.ndarray, vectors: np.ndarray) -> bool:
+        norm, lead, tail = lengths(vectors, self.rotation)
+        slack = 1e-6 + 1e-7 * self.norm * norm[0]  # what rounding does to the remaining lengths, and more
         active = np.flatnonzero(self.norm * norm[0] + slack >= self.floor)
         if not len(active):
             return False
-        rotated = vectors @ self.rotation
-        tail = np.sqrt((rotated[:, LEADING:] ** 2).sum(axis=1))
-        bound = self.rotated[active, :LEADING] @ rotated[:, :LEADING].T
+        bound = self.lead[active] @ lead.T
         bound += np.outer(self.tail[active], tail)
         q, c = np.nonzero(bound >= (self.floor - slack)[active, None])
         q = active[q]
@@ -106,7 +118,7 @@ class Search:
         return q[kept], c[kept], score[kept]
 
 
-def _packed(dimension: int, size: int):
+def _packed(dimension: int, size: int, kind: str):
     """Turn rows (id, vector) into rows that hold a block each: name, rows, greatest length, ids and vectors as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +129,7 @@ def _packed(dimension: int, size: int):
             nonlocal made
             made += 1
             longest = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1)).max())
-            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([len(i)], pa.int64()), pa.array([longest]), pa.array([i.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["block", "n", "longest", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([len(i)], pa.int64()), pa.array([longest]), pa.array([i.tobytes()], pa.binary()), pa.array([v.astype(kind).tobytes()], pa.binary())], ["block", "n", "longest", "ids", "vectors"])
 
         for batch in batches:
             ids, rows = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([rows, matrix(batch.column(1), dimension)])
@@ -130,66 +142,127 @@ def _packed(dimension: int, size: int):
     return run
 
 
+def leading_rotation(candidates: DataFrame, total: int, dimension: int) -> np.ndarray:
+    """(dimension, LEADING) first right singular vectors of a bounded sample, chosen by a hash of the identifier."""
+    rate = min(1 << 20, (SAMPLE << 20) // max(1, total) + 1)
+    sample = candidates.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < rate).select("_vector")
+    fitted = matrix(sample.toArrow().column(0).combine_chunks(), dimension).astype(np.float64)
+    if not len(fitted):
+        return np.eye(dimension)[:, :LEADING]
+    if len(fitted) <= dimension:
+        return np.ascontiguousarray(np.linalg.svd(fitted, full_matrices=True)[2].T[:, :LEADING])
+    return np.linalg.eigh(fitted.T @ fitted)[1][:, ::-1][:, :LEADING].copy()
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Of each query its ``k`` best: ``query_id``, ``rank``, ``vec_id``, ``score``. Both sides have ``_id`` and ``_vector`` (array of long)."""
+    with temporary() as tables:
+        hits = _search(candidates, queries, k)
+        tables.keep(hits)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = hits.select(F.explode(F.arrays_zip("query", "candidate", "score")).alias("hit")).select(F.col("hit.query").alias("query_id"), F.col("hit.candidate").alias("vec_id"), F.col("hit.score").alias("score"))
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+_STATE = "query_block string, need double, qids binary, qvectors binary, floors binary, place array<int>, query array<long>, candidate array<long>, score array<long>"
+
+
+def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """A written table with a row for each block of queries and the ``k`` best of each of its rows."""
     spark = candidates.sparkSession
-    known = candidates.agg(F.count(F.lit(1)), F.max(F.size("_vector"))).first()
+    bound_batches(spark)
+    squared = F.aggregate("_vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    known = candidates.agg(F.count(F.lit(1)), F.max(F.size("_vector")), F.max(squared), F.max(F.array_max(F.transform("_vector", lambda x: F.abs(x.cast("double")))))).first()
     total, dimension = known[0], known[1] or 1
+    if (known[2] or 0.0) >= 2.0**63 * (1 - 1e-9):
+        raise ValueError("vectors are so long that their inner products may not fit into 64 bits")
+    kind = "<i2" if (known[3] or 0) < 2**15 else "<i4" if known[3] < 2**31 else "<i8"
+    size = max(1, min(BLOCK, BLOCK_BYTES // (8 * dimension)))
+    asked_size = max(1, min(QUERIES, BLOCK_BYTES // (8 * dimension)))
     count = queries.count()
-    rate = min(1 << 20, (SAMPLE << 20) // max(1, total) + 1)
-    sample = [r["_vector"] for r in candidates.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < rate).select("_vector").collect()]
-    fitted = np.zeros((max(1, len(sample)), dimension))
-    for row, vector in zip(fitted, sample, strict=False):
-        row[: len(vector)] = vector
-    rotation = np.ascontiguousarray(np.linalg.svd(fitted, full_matrices=True)[2].T) if len(fitted) <= dimension else np.linalg.eigh(fitted.T @ fitted)[1][:, ::-1].copy()
+    rotation = leading_rotation(candidates, total, dimension)
 
     schema = "block string, n long, longest double, ids binary, vectors binary"
-    squared = F.aggregate("_vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    by_length = candidates.withColumn("_squared", squared).repartitionByRange(max(1, -(-total // BLOCK)), F.desc("_squared"), "_id").sortWithinPartitions(F.desc("_squared"), "_id")
-    blocks = materialize(by_length.select("_id", "_vector").mapInArrow(_packed(dimension, BLOCK), schema), "topk-blocks")
-    asked = materialize(queries.repartition(max(1, -(-count // QUERIES)), "_id").mapInArrow(_packed(dimension, QUERIES), schema), "topk-queries")
-
-    seed = blocks.orderBy(F.desc("longest"), "block").first()  # one block, of bounded size
-    shared = spark.sparkContext.broadcast((rotation, seed and (seed["block"], bytes(seed["ids"]), bytes(seed["vectors"]))))
+    by_length = candidates.withColumn("_squared", squared).repartitionByRange(max(1, -(-total // size)), F.desc("_squared"), "_id").sortWithinPartitions(F.desc("_squared"), "_id")
+    blocks = materialize(by_length.select("_id", "_vector").mapInArrow(_packed(dimension, size, kind), schema), "topk-blocks")
+    asked = materialize(queries.repartition(max(1, -(-count // asked_size)), "_id").mapInArrow(_packed(dimension, asked_size, kind), schema), "topk-queries")
+
+    listed = [(r["block"], r["n"], r["longest"]) for r in blocks.select("block", "n", "longest").collect()]  # a row for thousands of vectors
+    listed.sort(key=lambda r: (-r[2], r[0]))
+    if 100 * len(listed) > LIST_BYTES:
+        raise ValueError(f"{len(listed)} blocks are too many to broadcast their list")
+    ahead, held = 0, 0
+    while ahead < len(listed) and held < size:  # a full block's worth of the longest vectors, however small blocks are
+        held += listed[ahead][1]
+        ahead += 1
 
     def unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(ids, dtype=np.int64), np.frombuffer(vectors, dtype=np.int64).reshape(-1, dimension)
+        return np.frombuffer(ids, dtype=np.int64), np.frombuffer(vectors, dtype=kind).reshape(-1, dimension).astype(np.int64)
+
+    longest = sorted(blocks.where(F.col("block").isin([b for b, _, _ in listed[:ahead]])).collect(), key=lambda r: (-r["longest"], r["block"])) if ahead else []  # less than two blocks
+    shared = spark.sparkContext.broadcast((rotation, [(bytes(r["ids"]), bytes(r["vectors"])) for r in longest], [b for b, _, _ in listed], np.array([-x for _, _, x in listed])))
+
+    def state(block: str, search: Search, ids: bytes, vectors: bytes) -> pa.RecordBatch:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(search.floor <= 0, 0.0, np.where(search.norm > 0, search.floor / search.norm, np.inf))
+        q, c, score = search.hits
+        columns = [pa.array([block]), pa.array([float(need.min()) * (1 - 1e-7) - 1e-6]), *(pa.array([x], pa.binary()) for x in (ids, vectors, search.floor.tobytes()))]
+        columns += [pa.array([q.tolist()], pa.list_(pa.int32())), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (search.ids[q], c, score))]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _STATE.split(", ")])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, top = shared.value
+        turn, top, _, _ = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 search = Search(*unpack(row["ids"], row["vectors"]), turn, k)
-                if top:
-                    search.add(*unpack(top[1], top[2]))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    need = np.where(search.floor <= 0, 0.0, np.where(search.norm > 0, search.floor / search.norm, np.inf))
-                q, c, score = search.hits
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]]), pa.array([float(need.min()) * (1 - 1e-9) - 1e-6]), pa.array([row["ids"]], pa.binary()), pa.array([row["vectors"]], pa.binary()), pa.array([search.floor.tobytes()], pa.binary())]
-                    + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (search.ids[q], c, score)],
-                    ["query_block", "need", "qids", "qvectors", "floors", "query", "candidate", "score"],
-                )
-
-    seeded = materialize(asked.mapInArrow(first, "query_block string, need double, qids binary, qvectors binary, floors binary, query array<long>, candidate array<long>, score array<long>"), "topk-seeded")
-    top = seed["block"] if seed else ""
-    lengths = blocks.where(F.col("block") != top).select("block", "longest").orderBy("block").collect()  # a row per block of candidates
-    reach = F.array(*[F.struct(F.lit(r["block"]).alias("block"), F.lit(r["longest"]).alias("longest")) for r in lengths]) if lengths else F.array().cast("array<struct<block:string,longest:double>>")
-    pairs = seeded.select("qids", "qvectors", "floors", F.explode(F.filter(reach, lambda b: b["longest"] >= F.col("need"))["block"]).alias("block"))
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, _ = shared.value
+                for part in top:
+                    search.add(*unpack(*part))
+                yield state(row["block"], search, row["ids"], row["vectors"])
+
+    def met(low: int, high: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Blocks of this round that are long enough for a block of queries."""
+            names, order = shared.value[2:]
+            for batch in batches:
+                for name, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = names[low : min(high, int(np.searchsorted(order, -need, side="right")))]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["query_block", "block"])
+
+        return run
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = shared.value[0]
         for batch in batches:
             for row in batch.to_pylist():
-                search = Search(*unpack(row["qids"], row["qvectors"]), turn, k, np.frombuffer(row["floors"], dtype=np.float64))
-                search.add(*unpack(row["ids"], row["vectors"]))
-                q, c, score = search.hits
-                yield pa.RecordBatch.from_arrays([pa.array(search.ids[q]), pa.array(c), pa.array(score)], ["query_id", "vec_id", "score"])
+                one = Search(*unpack(row["qids"], row["qvectors"]), turn, k, np.frombuffer(row["floors"], dtype=np.float64))
+                one.add(*unpack(row["ids"], row["vectors"]))
+                q, c, score = one.hits
+                yield pa.RecordBatch.from_arrays([pa.array([row["query_block"]] * len(q), pa.string()), pa.array(q.astype(np.int32)), pa.array(c), pa.array(score)], ["query_block", "q", "c", "s"])
 
-    later = pairs.join(blocks.select("block", "ids", "vectors"), "block").select("qids", "qvectors", "floors", "ids", "vectors").mapInArrow(rest, "query_id long, vec_id long, score long")
-    early = seeded.select(F.explode(F.arrays_zip("query", "candidate", "score")).alias("hit")).select(F.col("hit.query").alias("query_id"), F.col("hit.candidate").alias("vec_id"), F.col("hit.score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return early.unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = shared.value[0]
+        for batch in batches:
+            for row in batch.to_pylist():
+                one = Search(*unpack(row["qids"], row["qvectors"]), turn, k, np.frombuffer(row["floors"], dtype=np.float64))
+                new = row["found"] or []
+                old = [np.array(row[x], dtype=np.int64) for x in ("place", "candidate", "score")]
+                one.hits = one._best(*(np.concatenate([o, np.array([h[x] for h in new], dtype=np.int64)]) for o, x in zip(old, "qcs", strict=True)))
+                yield state(row["query_block"], one, row["qids"], row["qvectors"])
+
+    now = materialize(asked.mapInArrow(first, _STATE), "topk-state")
+    low, many = ahead, ROUND
+    while low < len(listed):
+        pairs = now.select("query_block", "need").mapInArrow(met(low, low + many), "query_block string, block string")
+        pairs = materialize(pairs, "topk-pairs")
+        if pairs.isEmpty():
+            break  # later blocks are shorter still
+        sides = pairs.join(now.select("query_block", "qids", "qvectors", "floors"), "query_block").join(blocks.select("block", "ids", "vectors"), "block")
+        found = sides.select("query_block", "qids", "qvectors", "floors", "ids", "vectors").mapInArrow(search, "query_block string, q int, c long, s long")
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("query_block", "q").orderBy(F.desc("s"), "c"))).where(F.col("r") <= k)
+        lists = found.groupBy("query_block").agg(F.collect_list(F.struct("q", "c", "s")).alias("found"))  # at most k for each query of a block
+        now = materialize(now.join(lists, "query_block", "left").mapInArrow(merged, _STATE), "topk-state")
+        low, many = low + many, many * GROWTH
+    return now
 
 
 def search_table(embeddings: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -137,7 +137,55 @@ def test_html_marks_are_not_topics():
     assert html_text.main_text(page) == "\n".join(["T", *[long] * 4, "W", long])
 
 
+@pytest.mark.parametrize("part", ['<div class="entry-header"><h1>T</h1></div>', "<header><h1>T</h1><nav>Up, down.</nav><p>By x, y.</p></header>"])
+def test_html_headings_of_the_article(part):
+    long = "A long paragraph, full of words, and of commas; it goes on, and on."
+    more = f'<section class="related-work"><p>{long}</p></section><div class="search-results-study"><p>{long}</p></div><div class="post-comments"><p>{long}</p></div><div class=related-posts><p>{long}</p></div>'
+    page = f"<body><header><h1>Site</h1></header><article>{part}<p>{long}</p>{more}</article></body>"
+    assert html_text.main_text(page) == "\n".join(["T", *[long] * 3])
+
+
+def test_html_ratios_are_as_defined():
+    page = "<body><div><p>One, two. Three!</p><p>Four, five.</p></div><ul><li>Six</li></ul><div><b>Seven, eight; nine.</b></div></body>"
+    elements, texts = html_text.parse(page)
+    nodes = [("p", "One, two. Three!"), ("p", "Four, five."), ("li", "Six"), ("b", "Seven, eight; nine.")]
+    assert [(elements[t.element].tag, t.text) for t in texts] == nodes
+    ratio = {"p": (27 / 2, 5 / 2), "li": (3, 0), "b": (19, 3)}  # characters and punctuation marks a node
+    smooth = [[(3 * a + b) / 4, (a + 2 * b + c) / 4, (b + 3 * c) / 4] for a, b, c in zip(*ratio.values(), strict=True)]
+    fused = [(x * (y + 0.05)) ** 0.5 for x, y in zip(*smooth, strict=True)]
+    limit = html_text.THRESHOLD * np.std(fused)
+    want = {elements[t.element].path for t in texts if fused[list(ratio).index(elements[t.element].tag)] >= limit}
+    assert html_text.content_paths(elements, texts) == want
+
+
+def test_html_without_ratios_is_another_text(monkeypatch):
+    long = "A long paragraph, full of words, and of commas; it goes on, and on."
+    box = "<div><ul><li><a>One</a><li><a>Two</a></ul><div><span>Send</span></div></div>"
+    page = f"<body><div><ul><li><a>Top</a><li><a>New</a></ul></div><main><h1>T</h1>{f'<p>{long}</p>' * 5}{box}</main></body>"
+    with_ratios = html_text.main_text(page)
+    assert with_ratios.startswith("\n".join(["T", *[long] * 5])) and "Send" not in with_ratios
+    monkeypatch.setattr(html_text, "content_paths", lambda elements, texts: {e.path for e in elements})
+    assert html_text.main_text(page) != with_ratios
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, '<a "' * 100_000, "<a b='" * 100_000, "</x>" * 50_000 + "<div>" * 50_000 + "</x>" * 50_000, "<div>" + "<span>" * 50_000 + "<p><li>" * 50_000, "<!--" * 100_000, "<script>" + "</script" * 100_000, '<a b=">' * 100_000, "<p>" + "&amp" * 200_000])
+def test_html_takes_linear_time(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 30 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
+def test_html_quotes_in_tags():
+    assert html_text.main_text('<p title="a > b" id=x>One, two.</p><p title="5" tall">Three, four.</p><p class="x>Five, six.') == "One, two.\nThree, four.\nFive, six."
+
+
 def test_html_table(spark):
+    assert html_text.extract_pages(pages(spark, [(1, "u", "<p>x")]).where("false")).count() == 0
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE)]
     got = html_text.extract_pages(pages(spark, rows)).collect()
     assert len(got) == 3 and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -183,6 +231,26 @@ def test_top_k(spark, monkeypatch, block, step):
     assert {q: sorted(v) for q, v in got.items()} == plain_top_k(rows, 7, 20)
 
 
+def test_top_k_of_huge_and_repeated_vectors(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k.search_table(df)
+    rows = [(0, [1.0]), (0, [2.0]), (3, [1.0]), (3, [1.0]), (4, [-1.0])]
+    got = top_k.search_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 3, 8192), (2, 3, 8192), (3, 3, 4096)]
+
+
+def test_top_k_in_rounds(spark, monkeypatch):
+    for name, value in (("BLOCK", 10), ("QUERIES", 7), ("STEP", 4), ("ROUND", 2), ("GROWTH", 3)):
+        monkeypatch.setattr(top_k, name, value)
+    r = np.random.default_rng(4)
+    rows = [(k, (r.normal(size=24) * (1 + r.exponential())).tolist()) for k in range(300)]
+    got = {}
+    for x in top_k.search_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    assert {q: sorted(v) for q, v in got.items()} == plain_top_k(rows, 5, 20)
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (20, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, top_k.search_table(df).collect())) == [(0, 1, 20, 8192), (20, 1, 0, 8192)]
