@@ -7,12 +7,12 @@ rank can lower a position (large sets need one or two steps per element).
 
 Documents with the same set are one class. Classes that agree on a band of the signature are candidates:
 
-1. In each of a few rounds, every bucket has some pivots (the members with the smallest hashes of identifier and
+1. In each of a few rounds, every bucket has some pivots (the members with the smallest hashes of set and
    round). A member of another component is held against the pivots that it meets in most bands, so there are no more
    such pairs than a small multiple of the classes. Links that are confirmed join components.
 2. In buckets that still hold several components, members of all but the most frequent one are held against all
-   members of other components, in blocks of bounded size; each pair once, in the first band on which it agrees. A block confirms its candidates itself, from the full sets of
-   the rows that have any, and gives only as many links as join them.
+   members of other components, in blocks of bounded size (in rows and in elements of their sets); each pair once, in the first band on which it agrees.
+   A block confirms its candidates itself, from the full sets of the rows that have any, and gives only as many links as join them.
 
 So no bucket is expanded into all pairs, and what lies in one component already needs no more checks,
 yet no two members of a bucket stay apart without a check. A candidate must have an estimated similarity
@@ -21,7 +21,8 @@ above ``ESTIMATE`` and set sizes that allow the threshold; then both whole texts
 
 Cases: texts that are null, empty or without words have empty sets and no links; with fewer than five
 words, the sequence is one element; a null identifier takes no part and is kept (its component is null);
-rows that share an identifier are one node; further columns are not read.
+rows with words that share an identifier are one node, so that different texts of one identifier link all that
+either is similar to; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,19 +38,19 @@ from pyspark.sql import functions as F
 from gaugewright.llm.components import connected_components, local_forest
 from gaugewright.llm.hashing import MULTIPLY, SpanHasher, U, mixed
 from gaugewright.llm.prefilter import build_filter, passing, without
-from gaugewright.session import materialize, parallelism
+from gaugewright.llm.stores import held
+from gaugewright.session import bound_batches, materialize, parallelism, temporary
 
 BANDS, ROWS = 32, 4
 POSITIONS = BANDS * ROWS
 WORDS_EACH = 5
 #: Positions that must agree for a pair to be verified: nearly five standard deviations below a similarity of 0.75.
 ESTIMATE = 72
-#: Members in a block of a bucket.
-BLOCK = 128
+#: Members in a block of a bucket, and elements of their sets, on average at most.
+BLOCK, ELEMENTS = 128, 1 << 20
 #: Rounds, pivots of a bucket in each, and pivots that a member is held against in each.
 ROUNDS, PIVOTS, TRIES = 2, 4, 3
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_HASHER = SpanHasher()
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -73,7 +74,7 @@ def _sets(parts: list[bytes]) -> list[np.ndarray]:
     inside[1:-1] = ~_SPACE[codes]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    words = _HASHER.hashes(codes, starts, ends)
+    words = held("near_dedup", SpanHasher).hashes(codes, starts, ends)
     first = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
     runs = words[: max(0, len(words) - WORDS_EACH + 1)].copy()
     for k in range(1, WORDS_EACH):
@@ -123,6 +124,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_digest(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
@@ -133,7 +138,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([set_digest(s) for s in sets], pa.binary()),
                     pa.array([row.tobytes() for row in short], pa.binary()),
                 ],
                 ["id", "n", "digest", "signature"],
@@ -142,6 +147,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each row: ``id``, size of its set ``n``, ``digest`` of the set and ``signature`` (16 bits a position)."""
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(_features, "id long, n long, digest binary, signature binary")
 
@@ -153,7 +159,7 @@ def _band(signature: Column, band: Column) -> Column:
 def banded(classes: DataFrame) -> DataFrame:
     """A row for each class and band, with the band's key."""
     bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    return classes.select("id", "signature", bands.alias("band")).select("id", "band", _band(F.col("signature"), F.col("band")).alias("key"))
+    return classes.select("digest", "signature", bands.alias("band")).select("digest", "band", _band(F.col("signature"), F.col("band")).alias("key"))
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,37 +174,47 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    left = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
-    right = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_promising, "a long, b long")
+    left = classes.select(F.col("digest").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
+    right = classes.select(F.col("digest").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_promising, "a binary, b binary")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+            s, t = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            good.append(100 * both >= 75 * (len(s) + len(t) - both) and both > 0)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+
+def _shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            x, y = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            distinct = list(dict.fromkeys([*x, *y]))
-            sets = dict(zip(distinct, shingle_sets(distinct), strict=True))
-            good = []
-            for s, t in ((sets[p], sets[q]) for p, q in zip(x, y, strict=True)):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= 75 * (len(s) + len(t) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
-
-
-def texts_of(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and whole ``text`` of the documents in ``needed`` (written); only those, and few others, are shuffled."""
+            sets = shingle_sets(whole.column(0).slice(at, 256).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "set"])
+
+
+def sets_of(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``digest``, ``id`` and full ``set`` of the classes ``needed`` (written; ``digest``, ``id``), from the whole texts.
+
+    An identifier may have several texts, so the digest decides; copies of a row leave one set each before the shuffle.
+    """
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return passing(chosen, build_filter(needed, "id"), "id").join(needed, "id")
+    found = passing(chosen, build_filter(needed, "id"), "id").select("text").mapInArrow(_shingle_bytes, "digest binary, set binary")
+    return found.groupBy("digest").agg(F.any_value("set").alias("set")).join(needed, "digest").select("digest", "id", "set")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a written table) whose full sets, of the whole texts, are similar enough."""
-    needed = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-needed")
-    texts = materialize(texts_of(needed, docs, id_col, text_col), "near-texts")
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links between identifiers: those of ``pairs`` (a written table of digests) whose full sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    needed = materialize(ends.join(classes.select("digest", "id"), "digest"), "near-needed")
+    sets = materialize(sets_of(needed, docs, id_col, text_col), "near-sets")
+    left = sets.select(F.col("digest").alias("a"), F.col("id").alias("ia"), F.col("set").alias("sa"))
+    right = sets.select(F.col("digest").alias("b"), F.col("id").alias("ib"), F.col("set").alias("sb"))
+    joined = pairs.join(left, "a").join(right, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "sa", "sb")
+    return joined.mapInArrow(_confirm, "a long, b long").where("a != b")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -237,7 +253,7 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
         a, b = _candidates(block)
         if len(a):
-            rows = block.select(["band", "key", "i", "j", "left", "id"]).take(pa.array(np.union1d(a, b)))
+            rows = block.select(["band", "key", "i", "j", "left", "digest"]).take(pa.array(np.union1d(a, b)))
             yield from rows.combine_chunks().to_batches()
 
 
@@ -272,92 +288,117 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from local_forest(iter([pairs]))
 
 
-def _shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1).to_pylist())], pa.binary())], ["id", "set"])
-
-
 def labelled(classes: DataFrame, component: DataFrame | None) -> DataFrame:
     """The classes with their components so far; one that has no link is its own."""
     if component is None:
         return classes.withColumn("component", F.col("id"))
     joined = classes.join(component.withColumnRenamed("node", "id"), "id", "left")
-    return materialize(joined.select("id", "n", "signature", F.coalesce("component", "id").alias("component")), "near-labelled")
+    return materialize(joined.select("digest", "id", "n", "signature", F.coalesce("component", "id").alias("component")), "near-labelled")
+
 
+def pivot_pairs(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame | None:
+    """Pairs of members and pivots of other components; none if no bucket holds two components.
 
-def pivot_pairs(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs of members and pivots of other components. ``members`` (written): ``band``, ``key``, ``id``; ``classes`` are labelled."""
-    bucket = materialize(members.join(classes.select("id", "component"), "id").select("band", "key", "id", "component"), "near-members")
-    first = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + k)).alias("h"), "id", "component")).alias(f"p{k}") for k in range(PIVOTS)]
+    ``members`` (written): ``band``, ``key``, ``digest``; ``classes`` are labelled.
+    """
+    bucket = materialize(members.join(classes.select("digest", "component"), "digest").select("band", "key", "digest", "component"), "near-members")
+    first = [F.min(F.struct(F.xxhash64("digest", F.lit(turn * PIVOTS + k)).alias("h"), "digest", "component")).alias(f"p{k}") for k in range(PIVOTS)]
     chosen = bucket.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *first).where("low < high")
-    chosen = materialize(chosen.select("band", "key", F.array(*[F.struct(F.col(f"p{k}.id").alias("id"), F.col(f"p{k}.component").alias("component")) for k in range(PIVOTS)]).alias("pivots")), "near-pivots")
-    other = F.transform(F.filter("pivots", lambda p: p["component"] != F.col("component")), lambda p: p["id"])
-    met = bucket.join(chosen, ["band", "key"]).select("id", F.explode(F.array_distinct(other)).alias("pivot")).groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
-    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("bands", "pivot")), asc=False), 1, TRIES).alias("best"))  # at most BANDS * PIVOTS entries
-    pairs = best.select("id", F.explode("best.pivot").alias("pivot"))
-    return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    chosen = materialize(chosen.select("band", "key", F.array(*[F.struct(F.col(f"p{k}.digest").alias("digest"), F.col(f"p{k}.component").alias("component")) for k in range(PIVOTS)]).alias("pivots")), "near-pivots")
+    if chosen.isEmpty():
+        return None
+    other = F.transform(F.filter("pivots", lambda p: p["component"] != F.col("component")), lambda p: p["digest"])
+    met = bucket.join(chosen, ["band", "key"]).select("digest", F.explode(F.array_distinct(other)).alias("pivot")).groupBy("digest", "pivot").agg(F.count(F.lit(1)).alias("bands"))
+    best = met.groupBy("digest").agg(F.slice(F.sort_array(F.collect_list(F.struct("bands", "pivot")), asc=False), 1, TRIES).alias("best"))  # at most BANDS * PIVOTS entries
+    pairs = best.select("digest", F.explode("best.pivot").alias("pivot"))
+    return pairs.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()
 
 
 def cross_links(members: DataFrame, labelled: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links between components that share a bucket, confirmed in blocks. ``members`` (written): ``band``, ``key``, ``id``."""
-    bucket = members.join(labelled.select("id", "component"), "id")
-    bucket = materialize(bucket.select("band", "key", "id", "component"), "near-members")
-    by_component = bucket.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
+    """Links between components that share a bucket, confirmed in blocks. ``members`` (written): ``band``, ``key``, ``digest``."""
+    bucket = members.join(labelled.select("digest", "n", "component"), "digest")
+    bucket = materialize(bucket.select("band", "key", "digest", "n", "component"), "near-members")
+    by_component = bucket.groupBy("band", "key", "component").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / ELEMENTS).alias("c"))
     mixed_up = by_component.groupBy("band", "key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts"))
-    mixed_up = mixed_up.where("parts > 1").select("band", "key", F.col("top.component").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("ni"))
+    mixed_up = mixed_up.where("parts > 1").select("band", "key", F.col("top.component").alias("most"), F.ceil("all").cast("int").alias("nj"), F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("top.c"))).cast("int").alias("ni"))
     open_rows = bucket.join(materialize(mixed_up, "near-mixed"), ["band", "key"])
-    salt = F.xxhash64("id")
-    right = open_rows.select("band", "key", "id", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(salt, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("left"))
-    left = open_rows.where("component != most").select("band", "key", "id", F.pmod(salt, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"))
-    placed = materialize(left.unionByName(right), "near-blocks")
+    salt = F.xxhash64("digest")
+    right = open_rows.select("band", "key", "digest", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(salt, F.col("nj")).cast("int").alias("j"), F.lit(False).alias("left"))
+    left = open_rows.where("component != most").select("band", "key", "digest", F.pmod(salt, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"))
+    placed = left.unionByName(right)
     parts = parallelism(members.sparkSession)
     block = ["band", "key", "i", "j"]
 
     def dealt(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select(*block, "left", "id", "component", "n", "signature", *more).repartition(parts, *block).sortWithinPartitions(*block)
+        return rows.select(*block, "left", "id", "digest", "component", "n", "signature", *more).repartition(parts, *block).sortWithinPartitions(*block)
+
+    kinds = "band int, key binary, i int, j int, left boolean, digest binary"
+    open_rows = materialize(dealt(placed.join(labelled, "digest")).mapInArrow(_open_rows, kinds), "near-open")
+    needed = materialize(open_rows.select("digest").distinct().join(labelled.select("digest", "id"), "digest"), "near-needed")
+    sets = sets_of(needed, docs, id_col, text_col).select("digest", "set")
+    return dealt(open_rows.join(labelled, "digest").join(sets, "digest"), "set").mapInArrow(_linked, "a long, b long").distinct()
+
 
-    kinds = "band int, key binary, i int, j int, left boolean, id long"
-    open_rows = materialize(dealt(placed.join(labelled, "id")).mapInArrow(_open_rows, kinds), "near-open")
-    needed = materialize(open_rows.select("id").distinct(), "near-needed")
-    sets = materialize(texts_of(needed, docs, id_col, text_col).mapInArrow(_shingle_bytes, "id long, set binary"), "near-sets")
-    return dealt(open_rows.join(labelled, "id").join(sets, "id"), "set").mapInArrow(_linked, "a long, b long").distinct()
+def same_identifier_links(usable: DataFrame, named: DataFrame) -> DataFrame | None:
+    """Links of identifiers that stand in several classes to the first identifier of each; none if there are no such identifiers."""
+    several = usable.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low < high").select("id")
+    several = materialize(several, "near-several")
+    if several.isEmpty():
+        return None
+    rows = usable.join(several, "id").select("id", "digest").distinct()
+    return rows.join(named, "digest").select(F.col("id").alias("a"), F.col("class").alias("b")).where("a != b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
+    with temporary() as tables:
+        every, of_class = _grouped(docs, id_col, text_col)
+        tables.keep(every, of_class)
+    usable = every.where("n > 0 AND id IS NOT NULL")
+    linked = usable.select("id", "n", "digest").join(of_class, "digest").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = every.where("n = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: the features of every row, and the component of each class (``digest``, ``component``)."""
     every = materialize(features(docs, id_col, text_col), "near-features")
     usable = every.where("n > 0 AND id IS NOT NULL")
+    # A class is named by the digest of its set; its first identifier is its node. Two classes may have the same one.
     named = materialize(usable.groupBy("digest").agg(F.min("id").alias("class")), "near-classes")
     firsts = named.select(F.col("class").alias("id"), "digest")
-    classes = materialize(usable.join(firsts, ["id", "digest"]).select("id", "n", "signature").dropDuplicates(["id"]), "near-firsts")
+    classes = materialize(usable.join(firsts, ["id", "digest"]).select("digest", "id", "n", "signature").dropDuplicates(["digest"]), "near-firsts")
 
     bands = banded(classes)
-    shared = bands.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "key")
-    members = materialize(bands.join(materialize(shared, "near-shared"), ["band", "key"]), "near-buckets")
+    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "key")
+    members = materialize(bands.join(shared, ["band", "key"]), "near-buckets")
     tested: DataFrame | None = None
-    links: DataFrame | None = None
-    component: DataFrame | None = None
+    links = same_identifier_links(usable, named)
+    component = None if links is None else materialize(connected_components(links), "near-components")
+    mixed = True
     for turn in range(ROUNDS):
         met = pivot_pairs(members, labelled(classes, component), turn)
+        if met is None:
+            mixed = False
+            break
         met = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(promising(materialize(met, "near-met"), classes), "near-pairs")
-        found = materialize(confirmed(pairs, docs, id_col, text_col), "near-links")
+        pairs = materialize(promising(met, classes), "near-pairs")
+        found = materialize(confirmed(pairs, classes, docs, id_col, text_col), "near-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         component = materialize(connected_components(links), "near-components")
-    found = materialize(cross_links(members, labelled(classes, component), docs, id_col, text_col), "near-links")
-    component = materialize(connected_components(links.unionByName(found)), "near-components")
-
-    of_class = named.join(component.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component"))
-    of_class = materialize(of_class, "near-named")
-    linked = usable.select("id", "n", "digest").join(of_class, "digest").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    alone = every.where("n = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if mixed:
+        found = materialize(cross_links(members, labelled(classes, component), docs, id_col, text_col), "near-links")
+        component = materialize(connected_components(links.unionByName(found)), "near-components")
+    of_class = named.withColumn("component", F.col("class"))
+    if component is not None:
+        of_class = named.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return every, materialize(of_class.select("digest", "component"), "near-named")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest identifier."""
-    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select("doc_id")
-    return without(docs, materialize(dropped, "near-dropped"), id_col)
+    """``docs`` with one node of each group, the one with the smallest identifier; texts without words stay."""
+    with temporary() as tables:
+        dropped = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select("doc_id"), "near-dropped")
+        tables.keep(dropped)
+    return without(docs, dropped, id_col, where=F.col(text_col).rlike("[^ \\t-\\r]"))

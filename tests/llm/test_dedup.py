@@ -122,6 +122,17 @@ def test_near_odd_rows(spark):
     assert found[8, 99_996] == (7, False) and found[7, 99_997] == (7, True)
 
 
+def test_near_rows_that_share_an_identifier(spark):
+    base, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    got = near_dedup.near_duplicates(frame(spark, [(1, other), (1, base), (2, base + " tail"), (3, other + " tail"), (4, "quite different words stand here today"), (1, None)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_a_text_stays_where_another_of_its_identifier_goes(spark):
+    left = exact_dedup.drop_exact_duplicates(frame(spark, [(1, "a"), (2, "a"), (1, "b"), (None, "a"), (None, "c")]), keep="largest")
+    assert sorted((r[0] or 0, r[1]) for r in left.collect()) == [(0, "c"), (1, "b"), (2, "a")]
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
