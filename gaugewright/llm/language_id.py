@@ -5,7 +5,9 @@ N-grams of all languages and orders stand in sorted arrays of 64-bit hashes; bes
 language, its discounted probability and its weight as a context. A word's log probabilities are worked
 out once per worker and looked up by the word's hash after that. A text's cross-entropy per character
 under each language decides; the best one is compared with what most held-back training texts of that language
-have, and texts far above that are rejected.
+have, and texts far above that are rejected. What share of the held-back texts the limits themselves reject
+is measured and kept with the model. ``score`` is the best language's share of the texts' probabilities, all languages being as likely
+beforehand, on the evidence of ``EVIDENCE`` characters at most: without that bound, all but the shortest texts would score 1.
 
 Training takes a bounded sample: about ``per_language`` documents of each language, chosen by a hash of
 the identifier; counting and scoring cover whole texts. The model is bounded by the sample, and its
@@ -13,7 +15,8 @@ size is checked before it is broadcast.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and is rejected; ties go to the
 language that sorts first; with no training rows every text is ``und``; a null identifier is never held
-out and never trained on; further columns are not read.
+out and never trained on; rows repeated are judged alike, and learned from as often as they stand there; a language column with more
+than ``LANGUAGES`` values is refused; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.llm.hashing import MULTIPLY, STEP, SpanHasher, U, mixed
+from gaugewright.llm.stores import held
+from gaugewright.session import bound_batches, materialize, temporary
 
 ORDER = 5
 #: Rows of each language that are learned from, about.
@@ -36,13 +41,17 @@ PER_LANGUAGE = 1500
 #: Largest model that is broadcast, in bytes.
 MODEL_BYTES = 256 << 20
 #: Words whose scores a worker keeps.
-WORDS = 1_500_000
+WORDS = 500_000
 #: Share of held-back texts whose cross-entropy is at most the one that limits start from: a few noisy rows don't move it.
 QUANTILE = 0.95
 #: Held-back texts that a quantile takes at least.
 LEAST_BACK = 20
 #: Nats that a text of any length may have beyond its limit: about what a key of 16 letters costs more than words do.
 MARGIN = 40.0
+#: Characters that the score counts at most.
+EVIDENCE = 40.0
+#: Distinct values of the language column at most; a model holds a column for each.
+LANGUAGES = 2000
 #: Characters scanned at once.
 SEGMENT = 1 << 20
 EDGE, END = 1, 2  # stand before and after each word; no letters have these codes
@@ -132,6 +141,8 @@ class Model:
     uniform: float
     #: Of each language, the cross-entropy per character beyond which a text is rejected, but for MARGIN.
     limits: np.ndarray | None = None
+    #: Share of held-back texts of 40 letters or more that those limits reject; None if there are none.
+    false_rejections: float | None = None
 
     def size(self) -> int:
         return sum(a.nbytes for group in (self.grams, self.direct, self.weight) for a in group)
@@ -209,20 +220,15 @@ def train_model(counts: list[tuple[str, str, int]]) -> Model:
     return assemble({k: language_part([w for w, _ in rows], [n for _, n in rows]) for k, rows in by.items()})
 
 
-_SCANNER: list[Scanner] = []
-
-
 def scanner() -> Scanner:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
-    return _SCANNER[0]
+    return held("language words", Scanner)
 
 
 class Scorer:
     """Scores texts with a model; remembers words."""
 
     def __init__(self, model: Model):
-        self.model, self.scan = model, scanner()
+        self.model, self.scan = model, Scanner()
         self.known = np.zeros(0, dtype=U)
         self.scores = np.zeros((0, len(model.languages)), dtype=np.float32)
 
@@ -267,14 +273,11 @@ class Scorer:
                 continue
             entropy = -row / n
             best = int(np.argmin(entropy))
-            score = 1.0 / float(np.exp((entropy[best] - entropy) * min(n, 40.0)).sum())
+            score = 1.0 / float(np.exp((entropy[best] - entropy) * min(n, EVIDENCE)).sum())
             out.append((self.model.languages[best], min(1.0, max(0.0, score)), float(entropy[best]), limits is not None and bool(entropy[best] > limits[best] + MARGIN / n)))
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def fold(id_col: str):
     """0 to 4, from the CRC-32 of the identifier as text."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
@@ -287,16 +290,16 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     that the sample has. A text is rejected above ``slack`` times the
     QUANTILE of the cross-entropies of those held back of 40 letters or more, by language.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 0))
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}  # as many rows as languages
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 0))
+    sizes = rows.groupBy("_lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"the language column has more than {LANGUAGES} values")
     if not sizes:
         return Model([], [], [], [], np.ones(0), 1.0)
-    rate = F.lit(0)
-    for language, n in sizes.items():
-        rate = F.when(F.col("_lang") == language, F.lit(min(1 << 20, (per_language << 20) // n + 1))).otherwise(rate)
+    rates = docs.sparkSession.createDataFrame([(r["_lang"], min(1 << 20, (per_language << 20) // r["count"] + 1)) for r in sizes], "_lang string, _rate long")
     spread = F.xxhash64(F.lit(7), "_id")
     rows = rows.withColumn("_back", F.pmod(F.shiftright(spread, 20), F.lit(10)) == 0)
-    sample = rows.where(F.pmod(spread, F.lit(1 << 20)) < rate)
+    sample = rows.join(F.broadcast(rates), "_lang").where(F.pmod(spread, F.lit(1 << 20)) < F.col("_rate"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str, bool], int] = {}
@@ -332,14 +335,24 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if not model.languages:
         return model
     back = rows.where("_back").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"))
-    model.limits = limits(first, back, slack, model)
+    with temporary():
+        chars = F.length(F.regexp_replace("text", r"\P{L}", ""))
+        scored = materialize(apply(back.where(chars >= 40), first).select("lang_pred", "entropy"), "language-held-back")
+        model.limits = limits(scored, slack, model)
+        model.false_rejections = false_rejections(scored, model)
     return model
 
 
-def limits(first: Model, back: DataFrame, slack: float, model: Model) -> np.ndarray:
-    """Of each language of ``model``, from what ``first``, which hasn't seen them, says of held-back rows. A language with few held-back rows gets the limit of all rows together; with few in all, the worst row counts, or at most a model that knows nothing but the letters."""
-    chars = F.length(F.regexp_replace("text", r"\P{L}", ""))
-    scored = apply(back.where(chars >= 40), first).groupBy("lang_pred").agg(F.count("entropy").alias("n"), F.max("entropy").alias("worst"), F.percentile_approx("entropy", [k / 100 for k in range(1, 101)], 10_000).alias("at"))
+def false_rejections(scored: DataFrame, model: Model) -> float | None:
+    """The share of held-back texts whose cross-entropy is above their language's limit; the margin for short texts isn't counted, so it is no less than the true one."""
+    limits = scored.sparkSession.createDataFrame(list(zip(model.languages, map(float, model.limits), strict=True)), "lang_pred string, limit double")
+    found = scored.join(F.broadcast(limits), "lang_pred").agg(F.avg((F.col("entropy") > F.col("limit")).cast("double"))).first()
+    return found[0]
+
+
+def limits(scored: DataFrame, slack: float, model: Model) -> np.ndarray:
+    """Of each language of ``model``, from what a model that hasn't seen them says of held-back rows. A language with few held-back rows gets the limit of all rows together; with few in all, the worst row counts, or at most a model that knows nothing but the letters."""
+    scored = scored.groupBy("lang_pred").agg(F.count("entropy").alias("n"), F.max("entropy").alias("worst"), F.percentile_approx("entropy", [k / 100 for k in range(1, 101)], 10_000).alias("at"))
     found = {r["lang_pred"]: r for r in scored.collect()}  # as many rows as languages
     if (total := sum(r["n"] for r in found.values())) >= LEAST_BACK:
         values, weights = [x for r in found.values() for x in r["at"]], [r["n"] for r in found.values() for _ in r["at"]]
@@ -355,14 +368,13 @@ def scoring(spark, model: Model):
     """A function for executors: from a column of texts to lists of judgements, a list for every 1024 texts. The model is broadcast."""
     if model.size() > MODEL_BYTES:
         raise ValueError(f"the model has {model.size()} bytes; at most {MODEL_BYTES} are broadcast")
-    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    bound_batches(spark)
+    shared, name = spark.sparkContext.broadcast(model), f"language model {uuid.uuid4().hex}"
 
     def run(texts: pa.Array) -> Iterator[list[tuple[str, float, float | None, bool]]]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value)
+        own = held(name, lambda: Scorer(shared.value))
         for at in range(0, len(texts), 1024):
-            yield _SCORERS[name].judge(texts.slice(at, 1024).to_pylist())
+            yield own.judge(texts.slice(at, 1024).to_pylist())
 
     return run
 
@@ -394,11 +406,11 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if not model.languages:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    judged, place = scoring(docs.sparkSession, model), docs.columns.index(text_col)
+    judged = scoring(docs.sparkSession, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rejected = [r for part in judged(batch.column(place)) for _, _, _, r in part]
-            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def rejected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([r for part in judged(texts) for _, _, _, r in part], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(~rejected(F.col(text_col).cast("string")))  # only the texts go to Python, and a mark for each comes back

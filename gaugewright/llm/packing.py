@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.llm.stores import held
 from gaugewright.session import materialize
 
 #: Words that a worker remembers the ids of. Others are worked out again each time.
-WORDS = 800_000
+WORDS = 200_000
 MARK = "\U0010ffff|next|"
 
 
@@ -87,14 +88,9 @@ class ByteBpe:
         return b"".join([self.whole(first), *found])
 
 
-_ENCODERS: dict[str, ByteBpe] = {}
-
-
 def encoder(path: str) -> ByteBpe:
     """The worker's encoder; the file lies at the same path on every machine."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteBpe(path)
-    return _ENCODERS[path]
+    return held(f"packing {path}", lambda: ByteBpe(path))
 
 
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -26,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.llm.stores import held
+from gaugewright.session import bound_batches
+
 SPACE = "▁"
 #: Chunks and pairs that a worker remembers. More are worked out again each time.
 CHUNKS, PAIRS = 600_000, 400_000
@@ -164,14 +167,9 @@ class PieceCodec:
         return joined[1:] if joined[:1] == b" " else joined
 
 
-_CODECS: dict[str, PieceCodec] = {}
-
-
 def codec(model_path: str) -> PieceCodec:
     """The worker's codec for a model; the file lies at the same path on every machine."""
-    if model_path not in _CODECS:
-        _CODECS[model_path] = PieceCodec(model_path)
-    return _CODECS[model_path]
+    return held(f"codec {model_path}", lambda: PieceCodec(model_path))
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -190,6 +188,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
             ids = [memoryview(own.encode(t or "")).cast("I").tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -202,6 +201,7 @@ def decode_documents(encoded: DataFrame, model_path: str, *, id_col: str = "doc_
             texts = [own.decode(array("I", i or []).tobytes()).decode("utf-8", "replace") for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    bound_batches(encoded.sparkSession)
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
@@ -222,5 +222,6 @@ def round_trip_digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_i
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -112,6 +112,23 @@ def test_folds_decide_and_labels_do_not(spark):
     assert pick(docs) == pick(other)
 
 
+def test_false_rejections_are_measured(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = li.train(docs)
+    assert 0 <= model.false_rejections < 0.005
+    tight = li.train(docs, slack=1.0)
+    assert 0.02 < tight.false_rejections < 0.15  # about one in twenty is above the quantile itself
+
+
+def test_repeated_rows_ties_and_many_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(k // 2, "la la la", "xy"[k % 2]) for k in range(200)] + [(500, "la", None), (500, "la", None)], "doc_id long, text string, lang string")
+    got = li.identify(docs.withColumn("score", F.lit("clash"))).collect()
+    assert len(got) == 202 and {(r["lang_pred"], r["score"]) for r in got} == {("x", 0.5)}
+    monkeypatch.setattr(li, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 values"):
+        li.train(docs)
+
+
 def test_no_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert li.identify(empty).count() == 0
