@@ -135,7 +135,7 @@ class FactorModel:
             s = np.sqrt(np.diag(b.cov))
             low = np.tril_indices(self.p)
             residuals += b.n / total * math.sqrt(float(np.mean((((b.cov - sigma) / np.outer(s, s))[low]) ** 2)))
-        return {"x": x, "converged": converged, "chi_square": chi, "df": df, "cfi": 1 - over / max(base - base_df, over, 1e-12), "rmsea": math.sqrt(max((chi - df) / (df * total / self.g), 0.0)) if df > 0 else 0.0, "srmr": residuals}
+        return {"x": x, "converged": converged, "chi_square": float(chi), "df": int(df), "cfi": float(1 - over / max(base - base_df, over, 1e-12)), "rmsea": math.sqrt(max((chi - df) / (df * total / self.g), 0.0)) if df > 0 else 0.0, "srmr": float(residuals)}
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,7 @@ def assess_pca_loading_drift(baseline: PCAScore, df: DataFrame, *, key: Sequence
     now, explained = first_component(block.corr())
     now, cosine = aligned(now, old)
     change = now - old
-    out = PCADrift(True, None, block.n, cosine, float(np.abs(change).max()), state["explained_variance_ratio"], explained, explained - state["explained_variance_ratio"])
+    out = PCADrift(True, None, block.n, float(cosine), float(np.abs(change).max()), state["explained_variance_ratio"], float(explained), float(explained - state["explained_variance_ratio"]))
     runs: list[tuple[np.ndarray, float, float]] = []
     if n_bootstrap and key:
         for n, mean, cov in weighted_blocks(df, columns, key, n_bootstrap, random_state, block.mean):
@@ -71,5 +71,5 @@ def assess_pca_loading_drift(baseline: PCAScore, df: DataFrame, *, key: Sequence
     out.intervals = {"cosine": interval([c for _, c, _ in runs]), "max_loading_delta": interval([float(np.abs(v - old).max()) for v, _, _ in runs]), "explained_change": interval([e for _, _, e in runs]), "valid_bootstrap_samples": len(runs)}
     for i, c in enumerate(columns):
         low, high = interval([v[i] for v, _, _ in runs])
-        out.loadings.append({"indicator": c, "baseline_loading": old[i], "current_loading": float(now[i]), "loading_delta": float(change[i]), "abs_loading_delta": float(abs(change[i])), "current_loading_ci_lower": low, "current_loading_ci_upper": high, "loading_delta_ci_lower": low - old[i], "loading_delta_ci_upper": high - old[i]})
+        out.loadings.append({"indicator": c, "baseline_loading": float(old[i]), "current_loading": float(now[i]), "loading_delta": float(change[i]), "abs_loading_delta": float(abs(change[i])), "current_loading_ci_lower": low, "current_loading_ci_upper": high, "loading_delta_ci_lower": float(low - old[i]), "loading_delta_ci_upper": float(high - old[i])})
     return out

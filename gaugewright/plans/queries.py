@@ -35,7 +35,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def rows(spark: SparkSession, found: Sequence[dict], schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
-    plain = lambda v: None if isinstance(v, float) and v != v else v
+
+    def plain(v: object) -> object:
+        v = v.item() if hasattr(v, "item") else v
+        return None if isinstance(v, float) and v != v else v
+
     return rounded(spark.createDataFrame([tuple(plain(r[n]) for n in names) for r in found], schema))
 
 
