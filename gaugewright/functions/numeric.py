@@ -54,53 +54,43 @@ def chi2_tail(x: float, df: float) -> float:
     return min(1.0, front * h)
 
 
-def bisect(f: Callable[[float], float], low: float, high: float) -> float:
-    """A root of an increasing or decreasing function with a sign change between the ends."""
-    flow = f(low)
-    for _ in range(200):
-        mid = (low + high) / 2
-        value = f(mid)
-        if value == 0 or high - low < 1e-14 * max(1.0, abs(mid)):
-            return mid
-        if (value > 0) == (flow > 0):
-            low, flow = mid, value
-        else:
-            high = mid
-    return (low + high) / 2
-
-
-def fit_logistic(x: np.ndarray, positives: np.ndarray, n: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Intercept and slope by Newton's method with step halving, from grouped data. A constant x has slope 0."""
-    total, hits = n.sum(), positives.sum()
-    if len(np.unique(x)) < 2:
-        return float(logit(hits / total)), 0.0
-    centre, scale = np.average(x, weights=n), max(np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n)), 1e-300)
-    z = (x - centre) / scale
+def newton_logistic(sums: Callable[[float, float], tuple[float, np.ndarray, np.ndarray]], total: float, hits: float, steps: int = 100) -> tuple[float, float]:
+    """Intercept and slope by Newton's method with step halving. ``sums`` gives loss, downward gradient and Hessian at an intercept and a slope."""
     beta = np.array([float(logit(hits / total, 1e-9)), 0.0])
-
-    def loss(b: np.ndarray) -> float:
-        eta = b[0] + b[1] * z
-        return float(np.sum(n * np.logaddexp(0, eta) - positives * eta))
-
-    now = loss(beta)
+    now, g, h = sums(*beta)
     for _ in range(steps):
-        p = sigmoid(beta[0] + beta[1] * z)
-        w = np.maximum(n * p * (1 - p), 1e-300)
-        g = np.array([np.sum(positives - n * p), np.sum((positives - n * p) * z)])
-        h = np.array([[w.sum(), (w * z).sum()], [(w * z).sum(), (w * z * z).sum()]])
         if np.linalg.cond(h) > 1e14:
             break
         step = np.linalg.solve(h, g)
         size = 1.0
-        while size > 1e-8 and not loss(beta + size * step) <= now:
+        after = sums(*(beta + step))
+        while size > 1e-8 and not after[0] <= now:
             size /= 2
+            after = sums(*(beta + size * step))
         beta = beta + size * step
-        after = loss(beta)
-        if abs(now - after) <= 1e-13 * (abs(now) + 1) and size == 1.0 and np.abs(step).max() < 1e-10:
+        done = abs(now - after[0]) <= 1e-13 * (abs(now) + 1) and size == 1.0 and np.abs(step).max() < 1e-10
+        now, g, h = after
+        if done:
             break
-        now = after
-    slope = beta[1] / scale
-    return float(beta[0] - slope * centre), float(slope)
+    return float(beta[0]), float(beta[1])
+
+
+def shift_of(sums: Callable[[float], tuple[float, float]]) -> float:
+    """The root, within 100 of 0, of a decreasing function that ``sums`` gives with its slope: Newton's method, kept between bounds."""
+    low, high, a = -100.0, 100.0, 0.0
+    for _ in range(200):
+        value, slope = sums(a)
+        if value > 0:
+            low = a
+        else:
+            high = a
+        after = a - value / slope if slope < 0 else (low + high) / 2
+        if not low <= after <= high:
+            after = (low + high) / 2
+        if value == 0 or abs(after - a) < 1e-13 * max(1.0, abs(a)):
+            return after
+        a = after
+    return a
 
 
 def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.frame import Outcome
-from gaugewright.functions.numeric import bisect, fit_logistic, isotonic, logit, normal_quantile, sigmoid
+from gaugewright.functions.numeric import isotonic, logit, newton_logistic, normal_quantile, shift_of, sigmoid
 from gaugewright.functions.ranks import midrank, quantile_bands, running, value_counts
 from gaugewright.functions.resample import percentile_interval, weighted_sums
 from gaugewright.operators.downstream import paired
 from gaugewright.report.tables import markdown_document
+from gaugewright.session import materialize, parallelism
 
 VERSION = 1
-#: Distinct scores that a fit takes to the driver as they are; beyond, neighbours are merged into as many quantile cells.
+#: Distinct scores that a fit takes to the driver. With more, Spark makes the same sums and pools; results are the same.
 CELLS = 200_000
+#: Logits of probabilities at the edges.
+EDGE = 1e-12
 
 
 @dataclass(frozen=True)
@@ -54,14 +58,83 @@ class CalibrationModel:
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
 
-def _grouped(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct scores, rows and positives; of more than CELLS distinct scores, means of quantile cells."""
-    counts = value_counts(pairs, "score", (), {"pos": F.col("y")})
-    if counts.count() > CELLS:
-        banded = quantile_bands(running(counts, "score").withColumn("midrank", midrank()), CELLS)
-        counts = banded.groupBy("band").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"), F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    rows = counts.select("score", "n", "pos").orderBy("score").collect()  # at most CELLS rows
-    return tuple(np.array([r[k] for r in rows], dtype=float) for k in ("score", "n", "pos"))
+class Grouped:
+    """Rows and positives of each distinct score, on the driver or, where there are many, in a written table."""
+
+    def __init__(self, pairs: DataFrame, *, logits: bool = False):
+        self.table = materialize(value_counts(pairs, "score", (), {"pos": F.col("y")}), "calibration-counts")
+        q = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("score")))
+        self.table = self.table.withColumn("x", F.ln(q / (F.lit(1.0) - q)) if logits else F.col("score"))
+        facts = self.table.agg(F.count(F.lit(1)), F.sum("n"), F.sum("pos"), F.sum(F.col("n") * F.col("x"))).first()
+        self.distinct, self.total, self.hits = facts[0], float(facts[1] or 0), float(facts[2] or 0)
+        self.centre = facts[3] / self.total if self.total else 0.0
+        self.local: tuple[np.ndarray, ...] | None = None
+        if self.distinct <= CELLS:
+            rows = self.table.select("x", "n", "pos").orderBy("score").collect()
+            self.local = tuple(np.array([r[k] for r in rows], dtype=float) for k in ("x", "n", "pos"))
+
+    def sums(self, intercept: float, slope: float) -> tuple[float, float, float, float, float, float]:
+        """At a logistic curve over x - centre: loss, sums of residuals and of residuals times x, and of weights times 1, x and x squared."""
+        if self.local is not None:
+            x, n, pos = self.local
+            z = x - self.centre
+            eta = intercept + slope * z
+            p = sigmoid(eta)
+            w = np.maximum(n * p * (1 - p), 1e-300)
+            return tuple(float(v.sum()) for v in (n * np.logaddexp(0, eta) - pos * eta, pos - n * p, (pos - n * p) * z, w, w * z, w * z * z))
+        z, n, pos = F.col("x") - F.lit(self.centre), F.col("n"), F.col("pos")
+        eta = F.lit(intercept) + F.lit(slope) * z
+        p = (F.tanh(eta / 2) + 1) / 2
+        w = F.greatest(n * p * (F.lit(1.0) - p), F.lit(1e-300))
+        softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+        return tuple(self.table.agg(*[F.sum(v) for v in (n * softplus - pos * eta, pos - n * p, (pos - n * p) * z, w, w * z, w * z * z)]).first())
+
+    def logistic(self) -> tuple[float, float]:
+        """Intercept and slope; with one score, the rate's logit and 0."""
+        if self.distinct < 2:
+            return float(logit(self.hits / self.total)), 0.0
+
+        def at(intercept: float, slope: float) -> tuple[float, np.ndarray, np.ndarray]:
+            loss, g0, g1, a, b, c = self.sums(intercept, slope / scale)
+            return loss, np.array([g0, g1 / scale]), np.array([[a, b / scale], [b / scale, c / scale**2]])
+
+        spread = self.sums(0.0, 0.0)  # all weights are a quarter here
+        scale = max(math.sqrt(spread[5] / spread[3]), 1e-300)
+        intercept, slope = newton_logistic(at, self.total, self.hits)
+        slope /= scale
+        return intercept - slope * self.centre, slope
+
+    def in_the_large(self) -> float:
+        """What added to every x makes the expected positives as many as there are."""
+
+        def at(a: float) -> tuple[float, float]:
+            _, residual, _, weight, _, _ = self.sums(a + self.centre, 1.0)
+            return residual, -weight
+
+        return shift_of(at)
+
+    def isotonic(self) -> tuple[list[float], list[float]]:
+        """First score and value of each step of the nondecreasing fit. Ranges of scores are pooled apart, then the pools."""
+        if self.local is None:
+            ranged = self.table.select("x", "n", "pos").repartitionByRange(parallelism(self.table.sparkSession), "x").sortWithinPartitions("x")
+            found = ranged.select("x", F.col("n").cast("double"), F.col("pos").cast("double")).mapInArrow(_pools, "x double, n double, pos double").orderBy("x").collect()  # pools only
+            x, n, pos = (np.array([r[k] for r in found], dtype=float) for k in ("x", "n", "pos"))
+        else:
+            x, n, pos = self.local
+        fitted = isotonic(pos / n, n)
+        first = np.flatnonzero(np.diff(fitted, prepend=-np.inf) != 0)
+        return x[first].tolist(), fitted[first].tolist()
+
+
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pools of a range of scores in order, each with its first score, rows and positives."""
+    x, n, pos = (np.zeros(0) for _ in range(3))
+    for batch in batches:
+        x, n, pos = (np.concatenate([old, batch.column(k).to_numpy(zero_copy_only=False)]) for k, old in enumerate((x, n, pos)))
+        if len(x):
+            first = np.flatnonzero(np.diff(isotonic(pos / n, n), prepend=-np.inf) != 0)
+            x, n, pos = x[first], np.add.reduceat(n, first), np.add.reduceat(pos, first)
+    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), pa.array(pos)], ["x", "n", "pos"])
 
 
 def _binary(df: DataFrame, score: str, outcome: str, keep: Sequence[str] = ()) -> tuple[DataFrame, Outcome]:
@@ -75,13 +148,12 @@ def fit_calibrator(df: DataFrame, score: str, outcome: str, *, method: str = "lo
     if method not in ("logistic", "isotonic"):
         raise ValueError("method must be logistic or isotonic")
     pairs, _ = _binary(df, score, outcome)
-    x, n, pos = _grouped(pairs)
+    groups = Grouped(pairs)
     if method == "logistic":
-        intercept, slope = fit_logistic(x, pos, n)
-        return CalibrationModel("logistic", intercept, slope, n=int(n.sum()))
-    fitted = isotonic(pos / n, n)
-    first = np.flatnonzero(np.diff(fitted, prepend=-np.inf) != 0)
-    return CalibrationModel("isotonic", thresholds=tuple(x[first].tolist()), values=tuple(fitted[first].tolist()), n=int(n.sum()))
+        intercept, slope = groups.logistic()
+        return CalibrationModel("logistic", intercept, slope, n=int(groups.total))
+    thresholds, values = groups.isotonic()
+    return CalibrationModel("isotonic", thresholds=tuple(thresholds), values=tuple(values), n=int(groups.total))
 
 
 def wilson(positives: Column, n: Column, level: float) -> tuple[Column, Column]:
@@ -130,13 +202,9 @@ def assess_calibration(
     base = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.avg(error).alias("brier")).first()
     curve = calibration_curve(pairs, bins, min_bin_size, confidence_level)
     ece = curve.agg((F.sum(F.col("n") * F.col("absolute_gap")) / F.sum("n")).alias("e"), F.count(F.lit(1)).alias("k"), F.count_if("sparse").alias("s")).first()
-    x, n, pos = _grouped(pairs.select(F.col("p").alias("score"), "y"))
-    z = logit(x)
-    large = bisect(lambda a: float(np.sum(n * sigmoid(z + a)) - pos.sum()), -100.0, 100.0)
-    if len(x) > 1:
-        intercept, slope = fit_logistic(z, pos, n)
-    else:
-        intercept = slope = math.nan
+    groups = Grouped(pairs.select(F.col("p").alias("score"), "y"), logits=True)
+    large = groups.in_the_large()
+    intercept, slope = groups.logistic() if groups.distinct > 1 else (math.nan, math.nan)
     low = high = math.nan
     if n_bootstrap:
         sums = weighted_sums(pairs, {"e": error}, key, n_bootstrap, random_state).collect()  # a row per replicate
