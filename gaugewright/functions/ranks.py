@@ -51,6 +51,22 @@ def running(counts: DataFrame, value: str, keys: Sequence[str] = (), also: Seque
     return joined.select(*counts.columns, *[(F.col(f"_o_{c}") + F.col(f"_b_{c}")).alias(low) for c, (low, _) in names.items()], *[total for _, total in names.values()])
 
 
+def nth_smallest(df: DataFrame, column: str, n: int, limit: int = ONE_TASK) -> object:
+    """The ``n``-th smallest (from 1) of a column whose values all differ. Ranges of values are counted first, until one that a task may order holds it."""
+    rows = df.select(column)
+    while (total := rows.count()) > limit:
+        ranged = materialize(rows.repartitionByRange(RANGES, column).withColumn("_range", F.spark_partition_id()), "ranges")
+        before = 0
+        for r in ranged.groupBy("_range").count().orderBy("_range").collect():  # a row per range
+            if before + r["count"] >= n:
+                break
+            before += r["count"]
+        rows, n = ranged.where(F.col("_range") == r["_range"]).select(column), n - before
+        if r["count"] == total:
+            break
+    return rows.orderBy(column).limit(n).agg(F.max(column)).first()[0]
+
+
 def midrank() -> Column:
     """The average rank of a row of :func:`running`."""
     return F.col("below") + (F.col("n") + 1) / F.lit(2.0)

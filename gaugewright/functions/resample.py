@@ -54,48 +54,55 @@ def weighted_sums(df: DataFrame, values: dict[str, Column], key: Sequence[str],
 def weighted_auc(df: DataFrame, score: str, y: str, key: Sequence[str], samples: int, seed: int) -> list[float]:
     """Of each replicate, the tie-aware area under the curve (NaN with one class).
 
-    Rows are dealt by ranges of the score. A partition adds up what its rows contribute among themselves
-    and its weights of either class; contributions between partitions follow from the latter.
+    Rows are dealt by ranges of score and hash, so rows of one score needn't meet. A partition adds up what its rows between its lowest
+    and its highest score contribute among themselves, and its weights of either class there and at both ends; contributions
+    between partitions, and between rows of one score, follow from those.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(y).cast("double").alias("y"), row_hash(key).alias("h"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        positive, negative, inner = np.zeros(samples), np.zeros(samples), np.zeros(samples)
-        tied_positive, tied_negative, last, low = np.zeros(samples), np.zeros(samples), None, None
-
-        def settle() -> None:
-            nonlocal positive, negative, inner, tied_positive, tied_negative
-            inner = inner + tied_positive * (negative + tied_negative / 2)
-            positive, negative = positive + tied_positive, negative + tied_negative
-            tied_positive, tied_negative = np.zeros(samples), np.zeros(samples)
+        def record(value: float, p: np.ndarray, n: np.ndarray, inner: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(1, samples + 1, dtype=np.int32)), pa.array(np.full(samples, value)), pa.array(p), pa.array(n), pa.array(inner, from_pandas=True)], ["b", "s", "p", "n", "inner"])
 
+        none, one_score = np.zeros(samples), np.full(samples, np.nan)  # null: the weights of one score, whose own pairs are all ties
+        positive, negative, inner, between = none, none, none, None  # of the scores between the lowest and the one that is open
+        low, last, tied = None, None, (none, none)
         for batch in batches:
             s, t, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             for at in range(0, len(s), _ROWS):
                 part, w = s[at : at + _ROWS], weights(h[at : at + _ROWS], samples, seed)
                 hit = t[at : at + _ROWS, None] > 0
                 starts = np.flatnonzero(np.diff(part, prepend=np.nan) != 0)
-                pos, neg = np.add.reduceat(w * hit, starts, axis=0), np.add.reduceat(w * ~hit, starts, axis=0)
-                low = part[0] if low is None else low
-                for k, value in enumerate(part[starts]):
-                    if last is not None and value != last:
-                        settle()
-                    tied_positive, tied_negative, last = tied_positive + pos[k], tied_negative + neg[k], value
-        settle()
-        if low is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, samples + 1, dtype=np.int32)), pa.array(np.full(samples, low)), pa.array(positive), pa.array(negative), pa.array(inner)], ["b", "low", "p", "n", "inner"])
-
-    table = rows.repartitionByRange(parts, "s").sortWithinPartitions("s").mapInArrow(run, "b int, low double, p double, n double, inner double")
-    merged = table.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("low", "p", "n", "inner"))).alias("x")).orderBy("b")  # a row per partition and replicate
+                values, pos, neg = part[starts], np.add.reduceat(w * hit, starts, axis=0), np.add.reduceat(w * ~hit, starts, axis=0)
+                if last is not None and values[0] == last:
+                    pos[0], neg[0] = pos[0] + tied[0], neg[0] + tied[1]
+                elif last is not None:
+                    values, pos, neg = np.concatenate([[last], values]), np.vstack([tied[0], pos]), np.vstack([tied[1], neg])
+                if low is None and len(values) > 1:
+                    low = values[0]
+                    yield record(low, pos[0], neg[0], one_score)
+                    values, pos, neg = values[1:], pos[1:], neg[1:]
+                if len(values) > 1:
+                    between = values[0] if between is None else between
+                    before = negative + np.cumsum(neg[:-1], axis=0) - neg[:-1]
+                    inner = inner + (pos[:-1] * (before + neg[:-1] / 2)).sum(axis=0)
+                    positive, negative = positive + pos[:-1].sum(axis=0), negative + neg[:-1].sum(axis=0)
+                last, tied = values[-1], (pos[-1], neg[-1])
+        if between is not None:
+            yield record(between, positive, negative, inner)
+        if last is not None:
+            yield record(last, *tied, one_score)
+
+    table = rows.repartitionByRange(parts, "s", "h").sortWithinPartitions("s").mapInArrow(run, "b int, s double, p double, n double, inner double")
+    joined = table.groupBy("b", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("inner").alias("inner")).withColumn("inner", F.coalesce("inner", F.col("p") * F.col("n") / 2))
+    merged = joined.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("s", "p", "n", "inner"))).alias("x")).orderBy("b")  # at most three rows per partition and replicate
     out = []
     for r in merged.collect():
-        area = below = positive = 0.0
-        for part in r["x"]:
-            area += part["inner"] + part["p"] * below
-            below += part["n"]
-            positive += part["p"]
-        out.append(area / (positive * below) if positive and below else math.nan)
+        p, n, inner = (np.array([part[k] for part in r["x"]]) for k in ("p", "n", "inner"))
+        below = np.cumsum(n) - n
+        area, positive, negative = float((inner + p * below).sum()), p.sum(), n.sum()
+        out.append(area / (positive * negative) if positive and negative else math.nan)
     return out
 
 

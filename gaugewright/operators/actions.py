@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.config import Thresholds, ensure_count
 from gaugewright.frame import Outcome, check_unique, numeric, outcome_kind, require_columns
-from gaugewright.functions.ranks import exact_quantiles, running, value_counts
+from gaugewright.functions.ranks import exact_quantiles, nth_smallest, running, value_counts
 from gaugewright.operators.downstream import paired, validity_of
 
 OBJECTIVES = ("expected_value", "f1", "precision", "recall", "youden_j")
@@ -70,8 +70,7 @@ def top_policy(df: DataFrame, n: int, key: Sequence[str], polarity: int, policy_
     tie = None
     if need < edge["n"]:
         ties = df.where(F.col("oriented") == at).select(F.struct(*key).alias("_key"))
-        last = ties.orderBy("_key").limit(need).agg(F.max("_key")).first()[0]
-        tie = tuple(last)
+        tie = tuple(nth_smallest(ties, "_key", need))
     return Policy(policy_id, "top_n", n, at * polarity, at, tie)
 
 

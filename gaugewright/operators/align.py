@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from gaugewright.frame import check_unique, require_columns
+from gaugewright.functions.ranks import exact_quantiles
 
 ADDED = ("aligned_outcome", "aligned_outcome_time", "outcome_lag", "outcome_status")
 
@@ -20,9 +22,13 @@ class AlignmentResult:
     """``data``: the observations with the added columns. ``diagnostics`` is a table of one row, made on demand."""
 
     data: DataFrame
-    diagnostics: DataFrame
+    diagnose: Callable[[], DataFrame]
     as_of: object
 
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return self.diagnose()
+
     def audit_inputs(self, indicators: Sequence[str], *, score: str | None = None, segments: str | None = None, period: str | None = None, include_censored: bool = False) -> dict:
         """Arguments for an audit; censored rows are left out unless asked for."""
         roles = [c for c in (score, segments, period) if c]
@@ -124,12 +130,20 @@ def align_delayed_outcomes(
     value = F.when(F.col("_best").isNotNull(), F.col("_best._value")).when(closed, F.lit(no_outcome_value))
     complete = joined.select(*observations.columns, value.alias("aligned_outcome"), F.col("_best._time").alias("aligned_outcome_time"), (F.col("_best._time") - F.col(end_of_observation)).alias("outcome_lag"), status.alias("outcome_status"), F.coalesce("_many", F.lit(0)).alias("_many"))
     count = lambda s: F.count_if(F.col("outcome_status") == s)
-    diagnostics = complete.agg(
+    counters = [
         F.count(F.lit(1)).alias("input_observations"), F.lit(seen["n"]).cast("long").alias("input_outcomes"), F.count(F.lit(1)).alias("aligned_rows"), count("matched").alias("matched_rows"), count("unmatched").alias("unmatched_rows"), count("censored").alias("censored_rows"),
         F.lit(seen["invalid"]).cast("long").alias("invalid_outcome_rows"), F.lit(future).cast("long").alias("future_outcome_rows"), F.count_if(F.col("_many") > 1).alias("observations_with_multiple_candidates"),
-        F.coalesce(F.sum(F.greatest(F.col("_many") - 1, F.lit(0))), F.lit(0)).alias("duplicate_candidate_rows"), F.min("outcome_lag").alias("lag_min"), F.median("outcome_lag").alias("lag_median"), F.max("outcome_lag").alias("lag_max"),
-    )
-    return AlignmentResult(complete.drop("_many"), diagnostics, as_of)
+        F.coalesce(F.sum(F.greatest(F.col("_many") - 1, F.lit(0))), F.lit(0)).alias("duplicate_candidate_rows"), F.min("outcome_lag").alias("lag_min"),
+    ]
+
+    def diagnose() -> DataFrame:
+        lags = complete.where("outcome_lag IS NOT NULL").select((F.unix_micros(F.col("aligned_outcome_time").cast("timestamp")) - F.unix_micros(F.col(end_of_observation).cast("timestamp"))).alias("lag"))
+        middle = exact_quantiles(lags, ["lag"], [0.5])["lag"]
+        seconds = F.lit(None) if not middle else F.lit(round(middle[0])).cast("decimal(24,0)") / F.lit(1_000_000)
+        median = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+        return complete.agg(*counters, F.any_value(median).alias("lag_median"), F.max("outcome_lag").alias("lag_max"))
+
+    return AlignmentResult(complete.drop("_many"), diagnose, as_of)
 
 
 def latest_versions(df: DataFrame, keys: Sequence[str], updated_at: str | None, order: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.frame import numeric, require_columns
-from gaugewright.functions.ranks import ratio, running
+from gaugewright.functions.ranks import ONE_TASK, ratio, running
 from gaugewright.session import materialize
 from gaugewright.report.tables import markdown_document
 
@@ -58,20 +58,20 @@ def censoring_curve(reference: DataFrame, at: DataFrame) -> DataFrame:
     return summed.select("time", F.when(F.col("end_below") + F.col("end") > 0, F.lit(0.0)).otherwise(F.exp(F.col("below") + F.col("n"))).alias("g"))
 
 
-def concordance(rows: DataFrame, tau: float) -> dict:
+def concordance(rows: DataFrame, tau: float, limit: int = ONE_TASK) -> dict:
     """Weighted concordance up to ``tau``. ``rows`` has ``risk``, ``time``, ``event`` (boolean) and ``g``."""
-    order = (F.struct("time", (~F.col("event")).cast("int").alias("later"))).alias("order")
-    risks = materialize(running(rows.groupBy("risk").agg(F.count(F.lit(1)).alias("n")), "risk").select("risk", "below", "total"), "survival-risks")
+    risks = materialize(running(rows.groupBy("risk").agg(F.count(F.lit(1)).alias("n")), "risk", limit=limit).select("risk", "below", "total"), "survival-risks")
+    times = running(rows.groupBy("time").agg(F.count(F.lit(1)).alias("n")), "time", limit=limit).select("time", (F.col("below") * 2).alias("early"))  # rows with an earlier time, twice
     levels = max(1, int(risks.agg(F.max("below")).first()[0] or 0).bit_length())
     counted = (F.col("event") & (F.col("time") < tau)).cast("long")
     cells = rows.join(risks.withColumnRenamed("below", "rank").select("risk", "rank"), "risk").groupBy("rank", "time", "event").agg(F.count(F.lit(1)).alias("m"), F.sum(counted).alias("c"), F.sum(F.when(counted > 0, 1.0 / (F.col("g") * F.col("g"))).otherwise(F.lit(0.0))).alias("w"))
-    cells = materialize(cells.withColumn("o", order), "survival-cells")
+    cells = materialize(cells.join(times, "time").withColumn("o", F.col("early") + (~F.col("event")).cast("long")), "survival-cells")
 
     def beyond(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Weight and number of pairs: counted rows times the ``n`` of their node with a later order."""
         per = nodes.groupBy(*keys, "o").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("w").alias("w"))
         later = F.col("total") - F.col("below") - F.col("n")
-        return running(per, "o", keys).agg(F.coalesce(F.sum(F.col("w") * later), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.col("c") * later), F.lit(0)).alias("c"))
+        return running(per, "o", keys, limit=limit).agg(F.coalesce(F.sum(F.col("w") * later), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.col("c") * later), F.lit(0)).alias("c"))
 
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
     split = cells.select("rank", "o", "m", "c", "w", level).withColumn("node", F.expr("shiftright(rank, level + 1)")).withColumn("high", F.expr("shiftright(rank, level) & 1") == 1)

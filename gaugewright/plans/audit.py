@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.config import Thresholds
 from gaugewright.frame import check_unique, numeric, require_columns, trusted
+from gaugewright.functions.ranks import nth_smallest
 from gaugewright.governance import create_governance_manifest, to_json
 from gaugewright.operators.construct import SCORE, CompositeScore
 from gaugewright.operators.downstream import check_downstream
@@ -104,7 +105,9 @@ class ScoreAudit:
         if t.max_audit_rows is not None and n > t.max_audit_rows:
             if not self.key:
                 raise ValueError("taking a part of the rows needs a key")
-            df = df.orderBy(F.xxhash64(*[F.col(k).cast("string") for k in self.key], F.lit(42)), *self.key).limit(t.max_audit_rows)
+            spread = F.struct(F.xxhash64(*[F.col(k).cast("string") for k in self.key], F.lit(42)).alias("h"), *self.key)
+            last = nth_smallest(df.select(spread.alias("_spread")), "_spread", t.max_audit_rows)
+            df = df.where(spread <= F.struct(*[F.lit(v).alias(k) for k, v in zip(["h", *self.key], last, strict=True)]))
             checks.append(CheckResult("sample_size", Status.PASS, f"{t.max_audit_rows} of {n} rows are audited", {"rows": n, "audited_rows": t.max_audit_rows}))
         elif n < t.min_audit_rows:
             checks.append(CheckResult("sample_size", Status.WARN, f"only {n} rows", {"rows": n, "audited_rows": n}))
