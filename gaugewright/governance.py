@@ -14,7 +14,7 @@ from typing import ClassVar
 SCHEMA_VERSION = "1.0"
 REDACTED = "[redacted]"
 # Parts of a name that mark its value as secret.
-SECRET_MARKS = ("password", "passwd", "secret", "token", "api_key", "apikey", "credential", "private_key", "access_key", "authorization", "connection_string")
+SECRET_MARKS = ("access_key", "api_key", "apikey", "auth", "connection_string", "credential", "passwd", "password", "private_key", "secret", "token")
 
 
 def utc(moment: datetime | None = None) -> str:

@@ -221,7 +221,7 @@ def compare_scores(
 
 
 def compare_actions(pairs: DataFrame, key: Sequence[str], names: tuple[str, str], polarity: tuple[int, int], cutoffs, percentiles, top_n, thresholds: Thresholds | None = None) -> DataFrame:
-    """Per policy: how the two versions' selections differ: counts, ``changed_rate`` and ``jaccard`` (1 if nothing is selected)."""
+    """Per policy: how the two versions' selections differ: counts, ``changed_rate`` and ``jaccard`` (1 if nothing is selected), and how good each is: precision and recall, or the selected rows' mean outcome."""
     made = [analyze_actions(pairs, c, "y", key=key, cutoffs=cutoffs, percentiles=percentiles, top_n=top_n, polarity=p, thresholds=thresholds) for c, p in zip(("baseline", "candidate"), polarity, strict=True)]
     ids = [p.policy_id for p in made[0].policies]
     a, b = (m.assignments.select(*key, *[F.col(i).alias(f"{s}_{i}") for i in ids]) for m, s in zip(made, "ab", strict=True))
@@ -229,8 +229,11 @@ def compare_actions(pairs: DataFrame, key: Sequence[str], names: tuple[str, str]
     both = [F.count_if(F.col(f"a_{i}") & F.col(f"b_{i}")).alias(f"both_{i}") for i in ids]
     counts = joined.agg(F.count(F.lit(1)).alias("n"), *both).first()
     rows = []
+    measures = [m for m in ("precision", "recall", "selected_outcome_mean") if m in made[0].rows[0]]
+    known = lambda v: None if math.isnan(v) else float(v)
     for i, first, second in zip(ids, made[0].rows, made[1].rows, strict=True):
         x, y, z = first["selected_n"], second["selected_n"], counts[f"both_{i}"]
-        rows.append((i, first["strategy"], first["parameter"], first["score_cutoff"], second["score_cutoff"], x, y, z, x - z, y - z, x + y - 2 * z, (x + y - 2 * z) / counts["n"], z / (x + y - z) if x + y - z else 1.0))
+        rows.append((i, first["strategy"], first["parameter"], first["score_cutoff"], second["score_cutoff"], x, y, z, x - z, y - z, x + y - 2 * z, (x + y - 2 * z) / counts["n"], z / (x + y - z) if x + y - z else 1.0, *(known(r[m]) for m in measures for r in (first, second))))
     schema = "policy_id string, strategy string, parameter double, baseline_cutoff double, candidate_cutoff double, baseline_selected_n long, candidate_selected_n long, both_selected_n long, baseline_only_n long, candidate_only_n long, changed_n long, changed_rate double, jaccard double"
+    schema += "".join(f", {side}_{m} double" for m in measures for side in ("baseline", "candidate"))
     return pairs.sparkSession.createDataFrame(rows, schema)
