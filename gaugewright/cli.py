@@ -8,6 +8,7 @@ import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugewright import __version__
 from gaugewright.config import MonitoringLimits, Thresholds
 from gaugewright.governance import to_json
 from gaugewright.operators.compare import compare_scores
@@ -56,6 +57,7 @@ def pairs(items: list[str], what: str) -> dict[str, float | int | None]:
 
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gaugewright")
+    parser.add_argument("--version", action="version", version=f"gaugewright {__version__}")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("audit", "compare", "baseline", "monitor"):
         p = commands.add_parser(name)
@@ -66,17 +68,26 @@ def build_parser() -> argparse.ArgumentParser:
         for option in ("score", "outcome", "segments", "period", "json-output", "markdown-output", "html-output"):
             p.add_argument(f"--{option}")
         p.add_argument("--threshold", action="append")
+        p.add_argument("--title")
         if name == "compare":
-            p.add_argument("--candidate-data")
-            p.add_argument("--baseline-score")
-            p.add_argument("--candidate-score")
-            p.add_argument("--bootstrap", type=int)
+            for option in ("candidate-data", "baseline-score", "candidate-score", "baseline-name", "candidate-name"):
+                p.add_argument(f"--{option}")
+            p.add_argument("--bootstrap", "--n-bootstrap", type=int)
+            p.add_argument("--n-bands", type=int)
+            p.add_argument("--random-state", type=int)
+            p.add_argument("--action-cutoffs", nargs="+", type=float)
+            p.add_argument("--action-percentiles", nargs="+", type=float)
+            p.add_argument("--action-top-n", nargs="+", type=int)
         if name in ("baseline", "monitor"):
             p.add_argument("--score-id")
             p.add_argument("--score-version")
             p.add_argument("--limit", action="append")
+        if name == "baseline":
+            p.add_argument("--artifact")
+            p.add_argument("--bins", type=int)
+            p.add_argument("--metadata", action="append")
         if name == "monitor":
-            p.add_argument("--baseline")
+            p.add_argument("--baseline", "--artifact")
             p.add_argument("--batch-id")
     return parser
 
@@ -109,7 +120,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def run_audit(spark: SparkSession, o: dict, t: Thresholds) -> int:
     data, indicators = need(o, "data", "indicators")
     report = ScoreAudit(load(spark, data), indicators, o.get("score"), o.get("outcome"), o.get("segments"), o.get("period"), t, o.get("key") or ()).run()
-    emit(o, report.to_json(), report.to_markdown(), report.to_html())
+    emit(o, report.to_json(), report.to_markdown(), report.to_html(title=o.get("title") or "Score audit"))
     return {Verdict.DECISION_GRADE: OK, Verdict.DIRECTIONAL: WARNING}.get(report.verdict, NOT_VALIDATED)
 
 
@@ -118,11 +129,14 @@ def run_compare(spark: SparkSession, o: dict, t: Thresholds) -> int:
     table = load(spark, data)
     other = load(spark, o["candidate_data"]) if o.get("candidate_data") else table
     extras = [c for c in (o.get("segments"), o.get("period")) if c]
-    n = o.get("bootstrap")
-    found = compare_scores(table.select(*key, first), other.select(*key, second), table.select(*key, outcome, *extras), key=key, baseline_score=first, candidate_score=second, outcome=outcome, segments=o.get("segments"), period=o.get("period"), n_bootstrap=500 if n is None else n, thresholds=t)
-    payload = to_json({"coverage": found.coverage, "performance": found.performance, "dimensions": found.dimensions, "metrics": found.metrics, "notes": found.notes})
+    more = {k: o[k] for k in ("baseline_name", "candidate_name", "n_bands", "random_state", "action_cutoffs", "action_percentiles", "action_top_n") if o.get(k) is not None}
+    n = next((o[k] for k in ("bootstrap", "n_bootstrap") if o.get(k) is not None), 500)
+    found = compare_scores(table.select(*key, first), other.select(*key, second), table.select(*key, outcome, *extras), key=key, baseline_score=first, candidate_score=second, outcome=outcome, segments=o.get("segments"), period=o.get("period"), n_bootstrap=n, thresholds=t, **more)
+    actions = [r.asDict() for r in found.tables["actions"].collect()] if "actions" in found.tables else []  # a row per policy
+    payload = to_json({"actions": actions, "coverage": found.coverage, "performance": found.performance, "dimensions": found.dimensions, "metrics": found.metrics, "notes": found.notes})
     markdown = "# Score comparison\n\n" + markdown_table([found.performance]) + "\n\n" + markdown_table(found.dimensions) + "\n"
-    emit(o, payload, markdown, html_page("Score comparison", [("Performance", html_table([found.performance])), ("Dimensions", html_table(found.dimensions))]))
+    markdown += f"\n{markdown_table(actions)}\n" if actions else ""
+    emit(o, payload, markdown, html_page(o.get("title") or "Score comparison", [("Performance", html_table([found.performance])), ("Dimensions", html_table(found.dimensions)), *([("Actions", html_table(actions))] if actions else [])]))
     states = {d["assessment"] for d in found.dimensions}
     return NOT_VALIDATED if "regressed" in states else OK if states == {"improved"} else WARNING
 
@@ -130,8 +144,13 @@ def run_compare(spark: SparkSession, o: dict, t: Thresholds) -> int:
 def run_baseline(spark: SparkSession, o: dict, t: Thresholds) -> int:
     data, indicators, score, score_id, version = need(o, "data", "indicators", "score", "score_id", "score_version")
     limits = MonitoringLimits().with_values(**pairs(o.get("limit") or [], "--limit"))
-    made = create_monitoring_baseline(load(spark, data), indicators, score_id=score_id, score_version=version, score=score, outcome=o.get("outcome"), thresholds=t, limits=limits)
-    emit(o, made.to_json(), "# Monitoring baseline\n", html_page("Monitoring baseline", []))
+    told = dict(item.partition("=")[::2] for item in o.get("metadata") or [] if "=" in item) if isinstance(o.get("metadata"), list) else o.get("metadata")
+    if isinstance(o.get("metadata"), list) and len(told) < len(o["metadata"]):
+        raise InputError("--metadata needs different NAME=VALUE items")
+    made = create_monitoring_baseline(load(spark, data), indicators, score_id=score_id, score_version=version, score=score, outcome=o.get("outcome"), thresholds=t, limits=limits, bins=o.get("bins") or 10, metadata=told)
+    if o.get("artifact"):
+        made.save(o["artifact"])
+    emit(o, made.to_json(), "# Monitoring baseline\n", html_page(o.get("title") or "Monitoring baseline", []))
     return OK
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from gaugewright.config import Thresholds
 from gaugewright.frame import numeric
-from gaugewright.functions.moments import block_moments
+from gaugewright.functions.moments import block_moments, grouped_moments
 from gaugewright.functions.ranks import auc_table, exact_quantiles, spearman
 from gaugewright.operators import actions, align, calibrate, compare, downstream, indicators, leakage, monitor, pca_drift, segments, stability, survival
 from gaugewright.operators.construct import CompositeScore, PCAScore
@@ -134,6 +134,31 @@ def exact_quantile_table(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [{"column_name": c, "p10": q[0], "p50": q[1], "p90": q[2]} for c, q in found.items()], "column_name string, p10 double, p50 double, p90 double")
 
 
+@query(f"""WITH {SCORED}, {bands_sql('scored', 'n_chars', 10, 'ASC')},
+    g AS (SELECT band, count(*) AS n, avg(quality) AS rate, sum(quality) AS pos FROM bands GROUP BY band)
+    SELECT band::INT AS band, n, {r6('rate', 'outcome_rate')}, {r6('sum(pos) OVER (ORDER BY band) / sum(pos) OVER ()', 'cum_capture')} FROM g""")
+def lift_bands_ascending(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(downstream.lift_table(scored_docs(spark, d), "n_chars", "quality", ascending=True).select("band", "n", "outcome_rate", "cum_capture"))
+
+
+@query(f"WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, {midrank_sql('l_quantity')} AS a, {midrank_sql('l_extendedprice')} AS b FROM lineitem) SELECT count(*) AS n, {r6('corr(a, b)', 'spearman')}, {r6('corr(x, y)', 'pearson')}, CASE WHEN corr(a, b) < 0 THEN -1 ELSE 1 END::BIGINT AS polarity FROM r")
+def downstream_continuous(spark: SparkSession, d: str) -> DataFrame:
+    return rows(spark, [downstream.downstream_validity(line(spark, d), "l_quantity", "l_extendedprice")], "n long, spearman double, pearson double, polarity long")
+
+
+@query(f"SELECT c AS indicator, {r6('r', 'abs_corr')} FROM (SELECT abs(corr(l_quantity, l_tax)) AS l_quantity, abs(corr(l_extendedprice, l_tax)) AS l_extendedprice, abs(corr(l_discount, l_tax)) AS l_discount FROM lineitem) UNPIVOT (r FOR c IN (l_quantity, l_extendedprice, l_discount))")
+def indicator_dominance(spark: SparkSession, d: str) -> DataFrame:
+    found = indicators.dominance(line(spark, d), LINE[:3], "l_tax")
+    return rows(spark, [{"indicator": c, "abs_corr": r} for c, r in found.items()], "indicator string, abs_corr double")
+
+
+@query(f"SELECT l_returnflag, count(*) AS n, {r6('avg(l_quantity)', 'mean_quantity')}, {r6('avg(l_tax)', 'mean_tax')}, {r6('var_pop(l_quantity)', 'var_quantity')}, {r6('covar_pop(l_quantity, l_tax)', 'cov_quantity_tax')} FROM lineitem GROUP BY l_returnflag")
+def group_moments(spark: SparkSession, d: str) -> DataFrame:
+    found = grouped_moments(line(spark, d), ["l_quantity", "l_tax"], "l_returnflag")
+    made = [{"l_returnflag": k, "n": b.n, "mean_quantity": b.mean[0], "mean_tax": b.mean[1], "var_quantity": b.cov[0, 0], "cov_quantity_tax": b.cov[0, 1]} for k, b in found.items()]
+    return rows(spark, made, "l_returnflag string, n long, mean_quantity double, mean_tax double, var_quantity double, cov_quantity_tax double")
+
+
 # --- stability ----------------------------------------------------------------------------------
 
 _CUTS = "cuts AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [" + ", ".join(str(min(1.0, k * 0.1)) for k in range(11)) + "])))[2:-2] AS c FROM lineitem WHERE year(l_shipdate) = 1995)"
@@ -243,6 +268,12 @@ def pca_score_rows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(PCAScore().fit_transform(line(spark, d), LINE, "pca").select(*LINE_KEY, "pca"))
 
 
+@query(f"""WITH m AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) SELECT i AS indicator, {r6('sqrt(0.5)', 'abs_loading')}, {r6('(1 + abs(r)) / 2', 'explained')} FROM m, (VALUES (1::BIGINT), (2)) v(i)""")
+def pca_of_two(spark: SparkSession, d: str) -> DataFrame:
+    state = PCAScore().fit(line(spark, d), LINE[:2]).state  # of two indicators, the first component is known; if they fall against each other, but for its sign
+    return rows(spark, [{"indicator": k + 1, "abs_loading": abs(v), "explained": state["explained_variance_ratio"]} for k, v in enumerate(state["loadings"])], "indicator long, abs_loading double, explained double")
+
+
 # --- alignment ----------------------------------------------------------------------------------
 
 _OBS = "obs AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'), out AS (SELECT user_id, ts AS t, value, event_id AS e FROM events WHERE event_type = 'purchase'), ends AS (SELECT max(t) AS m FROM out)"
@@ -285,6 +316,13 @@ def align_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return _aligned(spark, d, "first").diagnostics.select("input_observations", "input_outcomes", "matched_rows", "unmatched_rows", "censored_rows", "observations_with_multiple_candidates", "duplicate_candidate_rows")
 
 
+@query(f"""WITH {_OBS}, m AS (SELECT epoch_us(min(t)) - epoch_us(any_value(ts)) AS lag FROM obs JOIN out ON out.user_id = obs.user_id AND {_WEEK} GROUP BY event_id)
+    SELECT {r6('min(lag) / 1e6', 'lag_min')}, {r6('round(quantile_cont(lag::DOUBLE, 0.5)) / 1e6', 'lag_median')}, {r6('max(lag) / 1e6', 'lag_max')} FROM m""")
+def align_lags(spark: SparkSession, d: str) -> DataFrame:
+    found = _aligned(spark, d, "first").diagnostics
+    return rounded(found.select(*[F.col(c).cast("interval second").cast("decimal(24,6)").cast("double").alias(c) for c in ("lag_min", "lag_median", "lag_max")]))
+
+
 @query("SELECT event_id, user_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def dedupe_latest(spark: SparkSession, d: str) -> DataFrame:
     return align.latest_versions(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id", "event_type"], "ts", ["event_id"])
@@ -337,6 +375,21 @@ def actions_by_segment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(actions.analyze_actions(scored_docs(spark, d), "n_chars", "quality", key=["doc_id"], cutoffs=[1500], polarity=1, segments="lang", thresholds=t).segments.drop("policy_id", "unassessed_reason"))
 
 
+@query(f"""WITH {SCORED}, p AS (SELECT n_chars >= c AS sel, n_chars / 2.0 + quality AS y FROM scored, (VALUES (1500.0::DOUBLE)) v(c))
+    SELECT count(*) AS n, count(*) FILTER (sel) AS selected_n, {r6('avg(sel::INT)', 'selected_rate')}, {r6('avg(y)', 'outcome_mean')}, {r6('avg(y) FILTER (sel)', 'selected_outcome_mean')}, {r6('avg(y) FILTER (NOT sel)', 'unselected_outcome_mean')}, {r6('(avg(y) FILTER (sel)) - (avg(y) FILTER (NOT sel))', 'outcome_mean_difference')} FROM p""")
+def actions_continuous(spark: SparkSession, d: str) -> DataFrame:
+    df = scored_docs(spark, d).withColumn("y", F.col("n_chars") / F.lit(2.0) + F.col("quality"))
+    return rounded(actions.analyze_actions(df, "n_chars", "y", key=["doc_id"], cutoffs=[1500], polarity=1).table.select(*actions.CONTINUOUS))
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT DISTINCT unnest(quantile_cont(n_chars, [{', '.join(str(k / 19) for k in range(20))}])) AS c FROM scored), p AS (SELECT c, n_chars >= c AS sel, quality AS y FROM scored, c),
+    m AS (SELECT c, count(*) FILTER (sel) AS selected_n, avg(y) FILTER (sel) AS a, avg(sel::INT) FILTER (y = 1) AS b FROM p GROUP BY c)
+    SELECT {r6('c', 'score_cutoff')}, selected_n, {r6('2 * a * b / (a + b)', 'f1')}, {r6('b', 'recall')} FROM m WHERE b >= 0.3 AND a + b > 0 ORDER BY round(2 * a * b / (a + b), 12) DESC, selected_n LIMIT 1""")
+def actions_recommend(spark: SparkSession, d: str) -> DataFrame:
+    found = actions.analyze_actions(scored_docs(spark, d), "n_chars", "quality", key=["doc_id"], polarity=1).recommend("f1", min_recall=0.3)
+    return rows(spark, [found], "score_cutoff double, selected_n long, f1 double, recall double")
+
+
 @query(f"""WITH {SCORED}, p AS (SELECT count(*) AS n, count(*) FILTER (n_chars >= 1500) AS s, sum(quality) FILTER (n_chars >= 1500) AS tp, sum(quality) AS pos FROM scored), m AS (SELECT *, (s - tp) * 20.0 + (pos - tp) * 50.0 + s * 5.0 AS spent FROM p)
     SELECT {r6('tp * 100.0 - spent', 'expected_value')}, {r6('(tp * 100.0 - spent) / n', 'expected_value_per_record')}, {r6('tp * 100.0 - spent + pos * 50.0', 'net_value_vs_no_action')}, {r6('spent / tp', 'break_even_tp_benefit')} FROM m""")
 def actions_economics(spark: SparkSession, d: str) -> DataFrame:
@@ -375,8 +428,9 @@ def compare_rank_movements(spark: SparkSession, d: str) -> DataFrame:
     return rounded(compare.rank_movements(compare.ranked_pairs(_versions(spark, d), (1, 1), 10), ["custkey"]))
 
 
-@query(f"""WITH {BUYERS}, s AS (SELECT row_number() OVER (ORDER BY n_orders DESC, custkey) <= 100 AS a, row_number() OVER (ORDER BY mean_price DESC, custkey) <= 100 AS b FROM buyers)
-    SELECT count(*) FILTER (a) AS baseline_selected_n, count(*) FILTER (b) AS candidate_selected_n, count(*) FILTER (a AND b) AS both_selected_n, count(*) FILTER (a AND NOT b) AS baseline_only_n, count(*) FILTER (b AND NOT a) AS candidate_only_n, count(*) FILTER (a <> b) AS changed_n, {r6('avg((a <> b)::INT)', 'changed_rate')}, {r6('count(*) FILTER (a AND b) / count(*) FILTER (a OR b)', 'jaccard')} FROM s""")
+@query(f"""WITH {BUYERS}, s AS (SELECT row_number() OVER (ORDER BY n_orders DESC, custkey) <= 100 AS a, row_number() OVER (ORDER BY mean_price DESC, custkey) <= 100 AS b, again FROM buyers)
+    SELECT count(*) FILTER (a) AS baseline_selected_n, count(*) FILTER (b) AS candidate_selected_n, count(*) FILTER (a AND b) AS both_selected_n, count(*) FILTER (a AND NOT b) AS baseline_only_n, count(*) FILTER (b AND NOT a) AS candidate_only_n, count(*) FILTER (a <> b) AS changed_n, {r6('avg((a <> b)::INT)', 'changed_rate')}, {r6('count(*) FILTER (a AND b) / count(*) FILTER (a OR b)', 'jaccard')},
+        {r6('avg(again) FILTER (a)', 'baseline_precision')}, {r6('avg(again) FILTER (b)', 'candidate_precision')}, {r6('avg(a::INT) FILTER (again = 1)', 'baseline_recall')}, {r6('avg(b::INT) FILTER (again = 1)', 'candidate_recall')} FROM s""")
 def compare_action_changes(spark: SparkSession, d: str) -> DataFrame:
     found = compare.compare_actions(_versions(spark, d), ["custkey"], ("baseline", "candidate"), (1, 1), (), (), (100,))
     return rounded(found.drop("policy_id", "strategy", "parameter", "baseline_cutoff", "candidate_cutoff"))
@@ -385,7 +439,7 @@ def compare_action_changes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def compare_scores(spark: SparkSession, d: str) -> DataFrame:
     b = buyers(spark, d)
-    found = compare.compare_scores(b.select("custkey", "n_orders"), b.select("custkey", "mean_price"), b.select("custkey", "again", "segment"), key=["custkey"], baseline_score="n_orders", candidate_score="mean_price", outcome="again", segments="segment", n_bootstrap=100)
+    found = compare.compare_scores(b.select("custkey", "n_orders"), b.select("custkey", "mean_price"), b.select("custkey", "again", "segment"), key=["custkey"], baseline_score="n_orders", candidate_score="mean_price", outcome="again", segments="segment", n_bootstrap=500)
     return rows(spark, [found.performance], "metric string, baseline double, candidate double, candidate_minus_baseline double, ci_lower double, ci_upper double, assessment string")
 
 
@@ -417,9 +471,18 @@ def calibration_models(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [{"method": m.method, "intercept": m.intercept, "slope": m.slope, "steps": len(m.thresholds), "n": m.n} for m in found], "method string, intercept double, slope double, steps long, n long")
 
 
+@query(f"""WITH {BUYERS}, g AS (SELECT n_orders AS x, count(*)::DOUBLE AS n, sum(again)::DOUBLE AS k FROM buyers GROUP BY n_orders), c AS (SELECT x, sum(n) OVER w AS cn, sum(k) OVER w AS ck, n, k FROM g WINDOW w AS (ORDER BY x)),
+    spans AS (SELECT a.x AS low, b.x AS high, (b.ck - a.ck + a.k) / (b.cn - a.cn + a.n) AS rate FROM c a JOIN c b ON a.x <= b.x),
+    fits AS (SELECT x, max(least_rate) AS value FROM (SELECT g.x, low, min(rate) AS least_rate FROM g JOIN spans ON low <= g.x AND high >= g.x GROUP BY g.x, low) GROUP BY x)
+    SELECT {r6('min(x)', 'threshold')}, {r6('any_value(value)', 'probability')} FROM fits GROUP BY round(value, 9)""")  # the fit is the largest of smallest means over spans
+def calibration_isotonic(spark: SparkSession, d: str) -> DataFrame:
+    m = calibrate.fit_calibrator(buyers(spark, d), "n_orders", "again", method="isotonic")
+    return rows(spark, [{"threshold": t, "probability": v} for t, v in zip(m.thresholds, m.values, strict=True)], "threshold double, probability double")
+
+
 @query()
 def calibration_holdout(spark: SparkSession, d: str) -> DataFrame:
-    m = calibrate.fit_and_assess_calibration(buyers(spark, d), "n_orders", "again", key=["custkey"], n_bootstrap=100).metrics
+    m = calibrate.fit_and_assess_calibration(buyers(spark, d), "n_orders", "again", key=["custkey"], n_bootstrap=500).metrics
     return rows(spark, [m], "evaluation_sample_size long, fit_sample_size long, brier_score double, brier_ci_lower double, brier_ci_upper double, calibration_slope double")
 
 
@@ -530,13 +593,13 @@ def multi_outcome(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pca_loading_drift(spark: SparkSession, d: str) -> DataFrame:
     df = line(spark, d)
-    found = pca_drift.assess_pca_loading_drift(PCAScore().fit(df.where("yr <= 1996"), LINE), df.where("yr = 2000"), key=LINE_KEY, n_bootstrap=50)
+    found = pca_drift.assess_pca_loading_drift(PCAScore().fit(df.where("yr <= 1996"), LINE), df.where("yr = 2000"), key=LINE_KEY, n_bootstrap=500)
     return rows(spark, found.loadings, "indicator string, baseline_loading double, current_loading double, abs_loading_delta double, current_loading_ci_lower double, current_loading_ci_upper double")
 
 
 @query()
 def construct_validity(spark: SparkSession, d: str) -> DataFrame:
-    found = assess_construct_validity(line(spark, d), {"amount": LINE[:2], "rates": LINE[2:]}, key=LINE_KEY, n_bootstrap=50)
+    found = assess_construct_validity(line(spark, d), {"amount": LINE[:2], "rates": LINE[2:]}, key=LINE_KEY, n_bootstrap=500)
     return rows(spark, found.ave, "construct string, indicators long, ave double, ci_lower double, ci_upper double, meets_threshold boolean")
 
 

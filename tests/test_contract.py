@@ -21,7 +21,7 @@ def test_every_sql_has_a_query():
     assert set(own.ORACLE_SQL) <= set(own.QUERIES) and len(own.ORACLE_SQL) > 35
 
 
-@pytest.mark.parametrize("name", ["downstream_validity", "psi_over_time", "align_first", "survival_concordance"])
+@pytest.mark.parametrize("name", ["downstream_validity", "psi_over_time", "align_first", "survival_concordance", "actions_continuous", "actions_recommend", "lift_bands_ascending", "downstream_continuous", "indicator_dominance", "group_moments", "pca_of_two", "align_lags", "calibration_isotonic", "compare_action_changes"])
 def test_some_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     data = "/root/testdata/sf0.001"
@@ -36,6 +36,12 @@ def test_some_queries_against_sql(spark, name):
     assert cells(got.select(*names).toPandas().itertuples(index=False)) == cells(want[names].itertuples(index=False))
 
 
+def test_every_query_runs(spark):
+    """Each registered query of the library gives rows at the smallest size."""
+    empty = [name for name, q in own.QUERIES.items() if name not in ("compare_scores", "score_audit") and not q(spark, "/root/testdata/sf0.001").count()]
+    assert empty == []
+
+
 def test_entry_works_without_the_training_data_package(tmp_path):
     code = (
         "import sys, importlib.abc\n"
@@ -95,6 +101,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["monitor", "--data", data, "--baseline", base, "--score", "health_score"], spark) == WARNING
     assert json.loads(capsys.readouterr().out)["state"] == "not_assessable"
     assert main(["compare", "--data", data, "--key", "row_id", "--outcome", "churned", "--baseline-score", "logins", "--candidate-score", "health_score", "--bootstrap", "20"], spark) in (OK, WARNING)
+    compared = str(tmp_path / "compared.json")
+    flags = ["--baseline-name", "old", "--candidate-name", "new", "--n-bands", "4", "--n-bootstrap", "20", "--random-state", "7", "--action-top-n", "50", "--title", "Versions"]
+    assert main(["compare", "--data", data, "--key", "row_id", "--outcome", "churned", "--baseline-score", "logins", "--candidate-score", "health_score", *flags, "--json-output", compared, "--html-output", out["html"]], spark) in (OK, WARNING)
+    told = json.load(open(compared))
+    assert {"old", "new"} <= set(told["performance"]) and told["actions"][0]["baseline_selected_n"] == 50 and "Versions" in open(out["html"]).read()
+    assert main(["baseline", "--data", data, "--indicators", *names, "--score", "health_score", "--score-id", "h", "--score-version", "1", "--bins", "4", "--metadata", "team=x", "--artifact", base, "--json-output", compared], spark) == OK
+    assert json.load(open(base))["bins"] == 4 and json.load(open(base))["metadata"] == {"team": "x"}
+    assert main(["--version"], spark) == OK
     config = tmp_path / "c.toml"
     config.write_text(f'config_version = 1\n[common]\ndata = "{data}"\n[audit]\nindicators = ["logins", "nps"]\n')
     assert main(["audit", "--config", str(config)], spark) == NOT_VALIDATED

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from gaugewright.functions.moments import BlockMoments
 from gaugewright.functions.numeric import chi2_tail, isotonic
-from gaugewright.functions.ranks import auc_table, exact_quantiles, midranks, running, value_counts
+from gaugewright.functions.ranks import auc_table, exact_quantiles, midranks, nth_smallest, running, value_counts
 from gaugewright.functions.resample import weighted_auc, weights
-from gaugewright.governance import configuration_fingerprint, create_governance_manifest, redact_secrets
+from gaugewright.governance import REDACTED, configuration_fingerprint, create_governance_manifest, redact_secrets
+from gaugewright.operators import calibrate, survival
 from gaugewright.operators.actions import analyze_actions
 from gaugewright.operators.align import align_delayed_outcomes
 from gaugewright.operators.calibrate import CalibrationModel, assess_calibration, fit_and_assess_calibration, fit_calibrator
@@ -343,3 +344,34 @@ def test_governance():
     assert create_governance_manifest({"owner": "o"})["missing_fields"]
 
 
+
+
+def test_calibration_is_the_same_with_many_scores(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.normal(size=900).round(2)
+    df = spark.createDataFrame([(k, float(v), int(r.random() < 1 / (1 + np.exp(-v)))) for k, v in enumerate(x)], "id long, s double, y int")
+    found = []
+    for cells in (200_000, 10):
+        monkeypatch.setattr(calibrate, "CELLS", cells)
+        models = [calibrate.fit_calibrator(df, "s", "y", method=m) for m in ("logistic", "isotonic")]
+        metrics = calibrate.assess_calibration(df, "s", "y", key=["id"], model=models[0], n_bootstrap=0).metrics
+        found.append([models[0].intercept, models[0].slope, *models[1].thresholds, *models[1].values, metrics["calibration_in_the_large"], metrics["calibration_slope"]])
+    assert found[0] == pytest.approx(found[1], abs=1e-7) and found[0][-1] == pytest.approx(1, abs=1e-6)
+
+
+def test_concordance_in_ranges(spark):
+    r = np.random.default_rng(5)
+    rows = spark.createDataFrame([(float(a), float(b), bool(c), 0.5 + float(g) / 2) for a, b, c, g in zip(r.integers(0, 40, 300), r.integers(1, 60, 300), r.random(300) < 0.6, r.random(300), strict=True)], "risk double, time double, event boolean, g double")
+    whole, ranged = survival.concordance(rows, 50.0), survival.concordance(rows, 50.0, limit=5)
+    assert ranged == pytest.approx(whole)
+
+
+def test_nth_smallest(spark):
+    df = spark.range(1000).select(F.struct((F.col("id") % 7).alias("a"), F.col("id").alias("b")).alias("k"))
+    want = sorted((k % 7, k) for k in range(1000))
+    for n in (1, 143, 500, 1000):
+        assert tuple(nth_smallest(df, "k", n, limit=20)) == want[n - 1]
+
+
+def test_redaction_of_every_marker():
+    assert redact_secrets({"auth": 1, "basic-auth": 2, "Auth_Header": 3, "author": 4, "plain": 5}) == {"auth": REDACTED, "basic-auth": REDACTED, "Auth_Header": REDACTED, "author": REDACTED, "plain": 5}
