@@ -4,8 +4,8 @@ Lines that begin with ``>`` are quotations; their level is the number of marks.
 are a passage: marks off, white space and line breaks as one space, lower case. Every run of WINDOW words
 of a passage is hashed, so it doesn't matter where lines were broken, and joined within its conversation to the first
 message that has the run in its own passages. Passages and lines of fewer words are hashed whole, and found as a passage, line or sentence. The
-message that most quoted characters of the outermost level come from, by runs first, is the parent (if levels further in only are found, theirs). Messages are then ordered by the
-turns on their way from the first message of their thread, so replies follow what they reply to.
+message that most quoted characters of the outermost level come from, by runs first, is the parent (if levels further in only are found, theirs). Threads follow one another by
+their first turn; in each, replies by turn directly follow what they reply to.
 
 Positions are counted over ranges of the order, so no task holds a conversation, however long.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.session import materialize, parallelism
+from gaugewright.session import materialize, parallelism, temporary
 
 QUOTED = r"^[ \t]*>"
 MARKS = r"^([ \t]*>)+[ \t]?"
@@ -115,35 +115,60 @@ def parents(links: DataFrame) -> DataFrame:
     return links.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "chars", "short_chars", "source"))["source"].alias("parent"))
 
 
-def reply_paths(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (``conv_id``, ``turn``, ``parent``, distinct) with ``path``: the turns from the first of the thread on. Ways double in each round."""
-    state = materialize(nodes.select("conv_id", "turn", F.col("parent").alias("up"), F.array("turn").alias("path")), "reply-paths")
-    while state.where("up IS NOT NULL").limit(1).count():
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        longer = state.where("up IS NOT NULL").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"))
-        state = materialize(longer.unionByName(state.where("up IS NULL")), "reply-paths")
-    return state.select("conv_id", "turn", "path")
+def next_siblings(nodes: DataFrame) -> DataFrame:
+    """``conv_id``, ``turn`` and ``sibling``: the next turn with the same parent. Siblings are taken by ranges, so none of a parent's replies need meet in one task."""
+    ranged = nodes.where("parent IS NOT NULL").select("conv_id", "parent", "turn").repartitionByRange(parallelism(nodes.sparkSession), "conv_id", "parent", "turn")
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), "reply-siblings")
+    group = ["conv_id", "parent", "_range"]
+    firsts = ranged.groupBy(*group).agg(F.min("turn").alias("_first"))
+    beyond = firsts.select(*group, F.lead("_first").over(Window.partitionBy("conv_id", "parent").orderBy("_range")).alias("_beyond"))
+    inside = ranged.withColumn("_inside", F.lead("turn").over(Window.partitionBy(*group).orderBy("turn")))
+    return inside.join(beyond, group).select("conv_id", "turn", F.coalesce("_inside", "_beyond").alias("sibling"))
+
+
+def reply_threads(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (``conv_id``, ``turn``, ``parent``, distinct) as ``conv_id``, ``turn``, ``root``, ``depth`` and ``following``.
+
+    A walk around each thread enters a message, then its replies by turn, and leaves it. Every step knows the
+    next; steps ahead double in each round, and a row stays one row of fixed size however long the thread. ``following`` counts the messages
+    entered from this one to the thread's end, so the larger come first; what is left before that end gives the depth.
+    """
+    child = nodes.where("parent IS NOT NULL").groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    tree = nodes.join(child, ["conv_id", "turn"], "left").join(next_siblings(nodes), ["conv_id", "turn"], "left")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    enter = tree.select("conv_id", "turn", F.lit(False).alias("leaves"), F.coalesce("child", "turn").alias("to"), F.col("child").isNull().alias("to_leaves"), one.alias("entered"), one.alias("level"))
+    leave = tree.select("conv_id", "turn", F.lit(True).alias("leaves"), F.coalesce("sibling", "parent").alias("to"), F.col("sibling").isNull().alias("to_leaves"), none.alias("entered"), (-one).alias("level"))
+    steps = materialize(enter.unionByName(leave).withColumn("root", F.when(F.col("to").isNull(), F.col("turn"))), "reply-steps")
+    while steps.where("to IS NOT NULL").limit(1).count():
+        ahead = steps.select("conv_id", F.col("turn").alias("to"), F.col("leaves").alias("to_leaves"), *[F.col(c).alias(f"_{c}") for c in ("to", "to_leaves", "entered", "level", "root")])
+        further = steps.where("to IS NOT NULL").join(ahead, ["conv_id", "to", "to_leaves"])
+        further = further.select("conv_id", "turn", "leaves", F.col("_to").alias("to"), F.col("_to_leaves").alias("to_leaves"), (F.col("entered") + F.col("_entered")).alias("entered"), (F.col("level") + F.col("_level")).alias("level"), F.col("_root").alias("root"))
+        steps = materialize(further.unionByName(steps.where("to IS NULL")), "reply-steps")
+    return steps.where("NOT leaves").select("conv_id", "turn", "root", (-F.col("level")).alias("depth"), F.col("entered").alias("following"))
 
 
 def reply_order(messages: DataFrame, *, conversation_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each message: ``conv_id``, ``turn``, ``role``, ``text`` without quotations, ``n_quoted`` (quoted lines), ``parent_turn``, ``depth`` and ``position`` (from 0) in its conversation."""
     chosen = messages.select(F.col(conversation_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    parent = materialize(parents(quotation_links(chosen)), "quote-parents")
-    threaded = parent.select("conv_id", "turn", "parent").unionByName(parent.select("conv_id", F.col("parent").alias("turn"), F.lit(None).cast("long").alias("parent")).distinct().join(parent.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti"))
-    paths = materialize(reply_paths(threaded), "reply-threads")
     quoted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(QUOTED)))
-    rows = chosen.join(parent, ["conv_id", "turn"], "left").join(paths, ["conv_id", "turn"], "left")
-    rows = rows.select("conv_id", "turn", "role", own_text(F.col("text")).alias("text"), quoted.alias("n_quoted"), F.col("parent").alias("parent_turn"), F.coalesce("path", F.array("turn")).alias("path"))
-
-    order = [F.col("conv_id").asc_nulls_last(), F.col("path"), F.col("role"), F.xxhash64("text")]
-    ranged = materialize(rows.repartitionByRange(parallelism(messages.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "reply-ranges")
+    order = [F.col("conv_id").asc_nulls_last(), F.col("_root"), F.col("_following").desc(), F.col("role"), F.xxhash64("text")]
+    with temporary() as scope:
+        parent = materialize(parents(quotation_links(chosen)), "quote-parents")
+        threaded = parent.select("conv_id", "turn", "parent").unionByName(parent.select("conv_id", F.col("parent").alias("turn"), F.lit(None).cast("long").alias("parent")).distinct().join(parent.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti"))
+        threads = reply_threads(materialize(threaded, "reply-threads"))
+        rows = chosen.join(parent, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left")
+        rows = rows.select(
+            "conv_id", "turn", "role", own_text(F.col("text")).alias("text"), quoted.alias("n_quoted"), F.col("parent").alias("parent_turn"),
+            F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("root", "turn").alias("_root"), F.coalesce("following", F.lit(1)).alias("_following"),
+        )
+        ranged = materialize(rows.repartitionByRange(parallelism(messages.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "reply-ranges")
+        scope.keep(ranged)
     counts = ranged.groupBy("conv_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = Window.partitionBy("conv_id", "_range").orderBy("path", "role", F.xxhash64("text"))
-    placed = ranged.withColumn("_place", F.row_number().over(place) - 1)
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("conv_id", "_range").orderBy(*order[1:])) - 1)
     joined = placed.join(offsets, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_at")))
-    return joined.select("conv_id", "turn", "role", "text", "n_quoted", "parent_turn", (F.size("path") - 1).alias("depth"), (F.col("_before") + F.col("_place")).cast("long").alias("position"))
+    return joined.select("conv_id", "turn", "role", "text", "n_quoted", "parent_turn", "depth", (F.col("_before") + F.col("_place")).cast("long").alias("position"))
 
 
 def conversations(ordered: DataFrame, most: int = 256) -> DataFrame:

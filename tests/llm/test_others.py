@@ -304,3 +304,22 @@ def test_contract_columns():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert json.dumps(sorted(ORACLE_SQL))
+
+
+def test_threads_against_a_walk(spark):
+    rng = random.Random(7)
+    trees = {1: {t: rng.choice([None, *range(max(0, t - 6), t)]) if t else None for t in range(90)}, 2: {t: t - 1 if t else None for t in range(70)}, 3: {t: 0 if t else None for t in range(60)}}
+    nodes = spark.createDataFrame([(c, t, p) for c, tree in trees.items() for t, p in tree.items()], "conv_id long, turn long, parent long").repartition(5)
+    got = {(r["conv_id"], r["turn"]): (r["root"], r["depth"], r["following"]) for r in quotations.reply_threads(nodes).collect()}
+    for c, tree in trees.items():
+        walk = []
+
+        def enter(t, root, depth, tree=tree, walk=walk):
+            walk.append((t, root, depth))
+            for reply in sorted(x for x, p in tree.items() if p == t):
+                enter(reply, root, depth + 1)
+
+        for root in sorted(t for t, p in tree.items() if p is None):
+            enter(root, root, 0)
+        assert [(t, *got[c, t][:2]) for t in sorted(tree, key=lambda t: (got[c, t][0], -got[c, t][2]))] == walk
+        assert len({(got[c, t][0], got[c, t][2]) for t in tree}) == len(tree)
