@@ -400,10 +400,12 @@ def actions_economics(spark: SparkSession, d: str) -> DataFrame:
 # --- comparison ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {BUYERS}, b AS (SELECT * FROM buyers WHERE custkey % 10 <> 0), c AS (SELECT * FROM buyers WHERE custkey % 7 <> 0), f AS (SELECT b.custkey AS x, c.custkey AS z FROM b FULL JOIN c ON b.custkey = c.custkey) SELECT count(x) AS baseline_n, count(z) AS candidate_n, count(*) FILTER (x IS NOT NULL AND z IS NOT NULL) AS overlap_n, count(*) FILTER (z IS NULL) AS baseline_only, count(*) FILTER (x IS NULL) AS candidate_only, 0::BIGINT AS baseline_missing, 0::BIGINT AS candidate_missing, 0::BIGINT AS outcome_missing, count(*) FILTER (x IS NOT NULL AND z IS NOT NULL) AS complete_n FROM f")
+@query("WITH b AS (SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), c AS (SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '2001-01-01'), f AS (SELECT b.custkey AS x, c.custkey AS z FROM b FULL JOIN c ON b.custkey = c.custkey) SELECT count(x) AS baseline_n, count(z) AS candidate_n, count(*) FILTER (x IS NOT NULL AND z IS NOT NULL) AS overlap_n, count(*) FILTER (z IS NULL) AS baseline_only, count(*) FILTER (x IS NULL) AS candidate_only, 0::BIGINT AS baseline_missing, 0::BIGINT AS candidate_missing, 0::BIGINT AS outcome_missing, count(*) FILTER (x IS NOT NULL AND z IS NOT NULL) AS complete_n FROM f")
 def compare_coverage(spark: SparkSession, d: str) -> DataFrame:
-    b = buyers(spark, d)
-    return compare.coverage(b.where("custkey % 10 <> 0"), b.where("custkey % 7 <> 0"), b, ["custkey"], ("n_orders", "mean_price"), "again")
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "custkey")
+    early = orders.where("o_orderdate < TIMESTAMP '1997-01-01'").groupBy("custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    late = orders.where("o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '2001-01-01'").groupBy("custkey").agg(F.avg("o_totalprice").alias("mean_price"))
+    return compare.coverage(early, late, buyers(spark, d), ["custkey"], ("n_orders", "mean_price"), "again")
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
