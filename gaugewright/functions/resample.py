@@ -11,22 +11,27 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.session import materialize, parallelism, temporary
+
 _CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
 _ROWS = 4096
+#: Weights, of rows times replicates, that a task of :func:`weighted_rank_correlations` may hold.
+CELLS = 4_000_000
 
 
 def row_hash(key: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k).cast("string") for k in key])
 
 
-def weights(hashes: np.ndarray, samples: int, seed: int) -> np.ndarray:
-    """(rows, replicates) Poisson(1) weights."""
+def weights(hashes: np.ndarray, samples: int, seed: int, first: int = 1) -> np.ndarray:
+    """(rows, replicates) Poisson(1) weights, of the replicates from ``first`` on."""
     u = np.uint64
-    x = hashes.astype(np.int64).view(u)[:, None] ^ (np.arange(1, samples + 1, dtype=u) * u(0x9E3779B97F4A7C15) + u(seed * 0x632BE59BD9B4E019 % (1 << 64)))[None, :]
+    x = hashes.astype(np.int64).view(u)[:, None] ^ (np.arange(first, first + samples, dtype=u) * u(0x9E3779B97F4A7C15) + u(seed * 0x632BE59BD9B4E019 % (1 << 64)))[None, :]
     for _ in range(2):
         x = (x ^ (x >> u(31))) * u(0xBF58476D1CE4E5B9)
     x ^= x >> u(29)
@@ -106,6 +111,105 @@ def weighted_auc(df: DataFrame, score: str, y: str, key: Sequence[str], samples:
     return out
 
 
+def _ordered(pdf: pd.DataFrame, count: int, seed: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of one range: their order by value, the sorted values, where distinct ones start, and the weights of each row in that order."""
+    at = np.argsort(pdf["v"].to_numpy(), kind="stable")
+    values = pdf["v"].to_numpy()[at]
+    return at, values, np.flatnonzero(np.diff(values, prepend=np.nan) != 0), weights(pdf["h"].to_numpy()[at], count, seed, first)
+
+
+def _ends(rows: DataFrame, columns: int, count: int, seed: int, first: int) -> dict[tuple[int, int], tuple[np.ndarray, ...]]:
+    """Of each column and range: the weights below it, below its first value, of its first and of its last value, over all ranges."""
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, values, starts, w = _ordered(pdf, count, seed, first)
+        lowest, highest = w[: starts[1]] if len(starts) > 1 else w, w[starts[-1] :]
+        return pd.DataFrame([[pdf["k"].iat[0], pdf["p"].iat[0], values[0], values[-1], *(x.sum(axis=0).tobytes() for x in (lowest, highest, w))]], columns=["k", "p", "low", "high", "first", "last", "whole"])
+
+    long = rows.select("h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("p"), F.col(f"v{k}").alias("v")) for k in range(columns)])).alias("x")).select("h", "x.*")
+    found = long.groupBy("k", "p").applyInPandas(ends, "k int, p int, low double, high double, first binary, last binary, whole binary").collect()  # a row per column and range
+    out = {}
+    for k in range(columns):
+        parts = [(r["p"], r["low"], r["high"], *(np.frombuffer(r[c]) for c in ("first", "last", "whole"))) for r in sorted((r for r in found if r["k"] == k), key=lambda r: r["p"])]
+        total: dict[float, np.ndarray] = {}
+        for _, low, high, w_low, w_high, _ in parts:
+            total[low] = total.get(low, 0) + w_low
+            if high != low:
+                total[high] = total.get(high, 0) + w_high
+        below, start = np.zeros(count), {}
+        for p, low, high, _, w_high, whole in parts:
+            start.setdefault(low, below)
+            if high != low:
+                start[high] = below + whole - w_high
+            out[k, p] = (below, start[low], total[low], total[high])
+            below = below + whole
+    return out
+
+
+def weighted_rank_correlations(df: DataFrame, scores: Sequence[str], y: str, key: Sequence[str], samples: int, seed: int) -> list[list[float]]:
+    """Of each replicate, the rank correlation of each score with ``y``, with midranks made anew from its weights (NaN where one is constant).
+
+    Rows are dealt by ranges of value and hash, column by column, so rows of one value needn't meet; weights of whole ranges and of
+    the values at their ends lead to the ranks inside. Replicates are taken as many at once as a task can hold for its rows.
+    """
+    columns = [*scores, y]
+    m = len(scores)
+    parts = parallelism(df.sparkSession)
+    with temporary():
+        rows = df.select(row_hash(key).alias("h"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns)]).dropna()
+        for k in range(m + 1):
+            rows = materialize(rows.repartitionByRange(parts, f"v{k}", "h").withColumn(f"p{k}", F.spark_partition_id()), "resample-ranges")
+        n = rows.count()
+        step = max(1, min(samples, CELLS * parts // max(1, n)))
+        out: list[list[float]] = []
+        for first in range(1, samples + 1, step):
+            out += _rank_correlations(rows, m, n, min(step, samples + 1 - first), seed, first)
+    return out
+
+
+def _rank_correlations(rows: DataFrame, m: int, n: int, count: int, seed: int, first: int) -> list[list[float]]:
+    """``count`` replicates of :func:`weighted_rank_correlations`."""
+    places = rows.sparkSession.sparkContext.broadcast(_ends(rows, m + 1, count, seed, first))  # four numbers per column, range and replicate
+    names = [f"s{i}" for i in range(3 * (m + 1))]
+
+    def ranks(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at, _, starts, w = _ordered(pdf.rename(columns={f"v{k}": "v"}), count, seed, first)
+        offset, below_first, first_total, last_total = places.value[k, pdf[f"p{k}"].iat[0]]
+        each = np.add.reduceat(w, starts, axis=0)
+        below = offset + np.cumsum(each, axis=0) - each
+        below[0], each[0], each[-1] = below_first, first_total, last_total
+        rank, weight = np.empty_like(w), np.empty_like(w)
+        rank[at], weight[at] = np.repeat((below + each / 2) / n, np.diff(starts, append=len(w)), axis=0), w
+        return rank, weight
+
+    def append(k: int):  # noqa: ANN202
+        return lambda pdf: pdf.assign(**{f"r{k}": [r.tobytes() for r in ranks(pdf, k)[0]]})
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, w = ranks(pdf, m)
+        held = [np.frombuffer(b"".join(pdf[f"r{k}"])).reshape(-1, count) for k in range(m)]
+        of = [w, w * last, w * last * last, *(x for r in held for x in (w * r, w * r * r, w * r * last))]
+        return pd.DataFrame({"b": np.arange(first, first + count, dtype=np.int32)} | {c: x.sum(axis=0) for c, x in zip(names, of, strict=True)})
+
+    table, kinds = rows, ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    for k in range(m):
+        kinds += f", r{k} binary"
+        table = table.groupBy(f"p{k}").applyInPandas(append(k), kinds)
+    table = table.groupBy(f"p{m}").applyInPandas(sums, "b int" + "".join(f", {c} double" for c in names))
+    out = []
+    for r in table.groupBy("b").agg(*[F.sum(c).alias(c) for c in names]).orderBy("b").collect():  # a row per replicate
+        total, sy, syy = r["s0"], r["s1"], r["s2"]
+        spread = syy * total - sy * sy
+        found = []
+        for i in range(3, 3 * (m + 1), 3):
+            sx, sxx, sxy = r[f"s{i}"], r[f"s{i + 1}"], r[f"s{i + 2}"]
+            own = sxx * total - sx * sx
+            found.append((sxy * total - sx * sy) / math.sqrt(own * spread) if min(own, spread) > 1e-12 * total * total else math.nan)
+        out.append(found)
+    places.destroy()
+    return out
+
+
 def percentile_interval(values: Sequence[float], level: float) -> tuple[float, float]:
     kept = np.array([v for v in values if v is not None and np.isfinite(v)])
     if len(kept) < 2:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gaugewright.config import Thresholds
 from gaugewright.frame import check_unique, numeric, outcome_kind, require_columns
 from gaugewright.functions.ranks import exact_quantiles, guarded_corr, midranks, quantile_bands, value_counts
-from gaugewright.functions.resample import percentile_interval, weighted_auc, weighted_sums
+from gaugewright.functions.resample import percentile_interval, weighted_auc, weighted_rank_correlations
 from gaugewright.operators.actions import analyze_actions
 from gaugewright.operators.downstream import lift_rows, validity_of
 from gaugewright.operators.segments import segment_summary
@@ -100,21 +100,8 @@ def _bootstrap(ranked: DataFrame, kind: str, polarities: tuple[int, int], key: S
     if kind == "binary":
         first, second = (weighted_auc(ranked, f"{c}_oriented", "y", key, samples, seed) for c in ("baseline", "candidate"))
         return [b - a for a, b in zip(first, second, strict=True)]
-    y_rank = midranks(ranked, "y").select(F.col("y").alias("_v"), F.col("midrank").alias("_ry"))
-    joined = ranked.join(y_rank, F.col("y") == F.col("_v"))
-    x = {"a": F.col("baseline_rank"), "c": F.col("candidate_rank"), "y": F.col("_ry")}
-    top = float(joined.agg(F.max("_ry")).first()[0] or 1.0)
-    x = {k: c / top for k, c in x.items()}
-    values = {k: c for k, c in x.items()} | {f"{p}{q}": x[p] * x[q] for p, q in ("aa", "cc", "yy", "ay", "cy")}
-    out = []
-    for r in weighted_sums(joined, values, key, samples, seed).collect():  # a row per replicate
-        w = r["w"]
-        if not w:
-            continue
-        v = {k: r[f"{k}{k}"] / w - (r[k] / w) ** 2 for k in "acy"}
-        rho = [(r[f"{k}y"] / w - r[k] * r["y"] / w / w) / math.sqrt(v[k] * v["y"]) if v[k] > 0 and v["y"] > 0 else math.nan for k in "ac"]
-        out.append(rho[1] - rho[0])
-    return out
+    found = weighted_rank_correlations(ranked, ["baseline_oriented", "candidate_oriented"], "y", key, samples, seed)
+    return [b - a for a, b in found]
 
 
 def compare_scores(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from gaugewright.functions.moments import BlockMoments
 from gaugewright.functions.numeric import chi2_tail, isotonic
 from gaugewright.functions.ranks import auc_table, exact_quantiles, midranks, nth_smallest, running, value_counts
-from gaugewright.functions.resample import weighted_auc, weights
+from gaugewright.functions import resample
+from gaugewright.functions.resample import weighted_auc, weighted_rank_correlations, weights
 from gaugewright.governance import REDACTED, configuration_fingerprint, create_governance_manifest, redact_secrets
 from gaugewright.operators import calibrate, survival
 from gaugewright.operators.actions import analyze_actions
@@ -375,3 +376,19 @@ def test_nth_smallest(spark):
 
 def test_redaction_of_every_marker():
     assert redact_secrets({"auth": 1, "basic-auth": 2, "Auth_Header": 3, "author": 4, "plain": 5}) == {"auth": REDACTED, "basic-auth": REDACTED, "Auth_Header": REDACTED, "author": REDACTED, "plain": 5}
+
+
+def test_rank_correlations_of_replicates_match_the_plain_ones(spark, monkeypatch):
+    df = scored(spark, 400).withColumns({"s": F.round("b", 1), "t": F.when(F.col("id") % 3 == 0, F.col("a")).otherwise(0.5), "u": F.round("z", 1)})
+    rows = df.select("s", "t", "u", F.xxhash64(F.col("id").cast("string")).alias("h")).toPandas()
+    w = weights(rows["h"].to_numpy(), 5, 9).astype(int)
+    plain = []
+    for b in range(5):
+        ranked = rows.loc[np.repeat(rows.index, w[:, b]), ["s", "t", "u"]].rank()
+        plain.append([ranked["s"].corr(ranked["u"]), ranked["t"].corr(ranked["u"])])
+    for cells in (4_000_000, 100):  # all replicates at once, then two at a time
+        monkeypatch.setattr(resample, "CELLS", cells)
+        assert np.allclose(weighted_rank_correlations(df.repartition(4), ["s", "t"], "u", ["id"], 5, 9), plain)
+    level = weighted_rank_correlations(df.withColumn("one", F.lit(1.0)), ["one"], "u", ["id"], 2, 9)
+    assert np.isnan(level).all()
+    assert weighted_rank_correlations(df.where("false"), ["s"], "u", ["id"], 2, 9) == []
