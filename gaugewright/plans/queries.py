@@ -445,6 +445,22 @@ def compare_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, [found.performance], "metric string, baseline double, candidate double, candidate_minus_baseline double, ci_lower double, ci_upper double, assessment string")
 
 
+@query(f"""WITH {BUYERS}, f AS (SELECT again AS y, {midrank_sql('n_orders')} AS a, {midrank_sql('mean_price')} AS b FROM buyers), e AS (SELECT {auc_sql(mr='a')} AS a, {auc_sql(mr='b')} AS b FROM f), o AS (SELECT greatest(a, 1 - a) AS a, greatest(b, 1 - b) AS b FROM e)
+    SELECT 'oriented_auc' AS metric, {r6('a', 'baseline')}, {r6('b', 'candidate')}, {r6('b - a', 'candidate_minus_baseline')}, CASE WHEN abs(b - a) <= 1e-12 THEN 'inconclusive' WHEN b > a THEN 'improved' ELSE 'regressed' END AS assessment FROM o""")
+def compare_scores_difference(spark: SparkSession, d: str) -> DataFrame:
+    b = buyers(spark, d)
+    found = compare.compare_scores(b.select("custkey", "n_orders"), b.select("custkey", "mean_price"), b.select("custkey", "again"), key=["custkey"], baseline_score="n_orders", candidate_score="mean_price", outcome="again", n_bootstrap=0)
+    return rows(spark, [found.performance], "metric string, baseline double, candidate double, candidate_minus_baseline double, assessment string")
+
+
+@query(f"""WITH {BUYERS}, f AS (SELECT {midrank_sql('mean_price')} AS y, {midrank_sql('n_orders')} AS a, {midrank_sql('custkey')} AS b FROM buyers), o AS (SELECT abs(corr(a, y)) AS a, abs(corr(b, y)) AS b FROM f)
+    SELECT 'abs_spearman' AS metric, {r6('a', 'baseline')}, {r6('b', 'candidate')}, {r6('b - a', 'candidate_minus_baseline')}, CASE WHEN abs(b - a) <= 1e-12 THEN 'inconclusive' WHEN b > a THEN 'improved' ELSE 'regressed' END AS assessment FROM o""")
+def compare_scores_continuous(spark: SparkSession, d: str) -> DataFrame:
+    b = buyers(spark, d).withColumn("number", F.col("custkey").cast("double"))
+    found = compare.compare_scores(b.select("custkey", "n_orders"), b.select("custkey", "number"), b.select("custkey", "mean_price"), key=["custkey"], baseline_score="n_orders", candidate_score="number", outcome="mean_price", n_bootstrap=0)
+    return rows(spark, [found.performance], "metric string, baseline double, candidate double, candidate_minus_baseline double, assessment string")
+
+
 # --- calibration --------------------------------------------------------------------------------
 
 _P = f"{BUYERS}, p AS (SELECT custkey, least(0.99, n_orders / 20.0) AS p, again AS y FROM buyers)"
@@ -503,16 +519,34 @@ def _monitored(spark: SparkSession, d: str) -> tuple[monitor.MonitoringBaseline,
     return base, df.where("yr = 2000").drop("yr", "l_returnflag")
 
 
-@query(f"""WITH {_MONITOR}, spine AS (SELECT c, unnest(range(0, len(cuts) + 1)) AS bin FROM cuts), t AS (SELECT w, c, sum(n) AS t FROM bins GROUP BY ALL),
-    pq AS (SELECT s.c, greatest(coalesce(a.n, 0) / ta.t, 1e-4) AS p, greatest(coalesce(b.n, 0) / tb.t, 1e-4) AS q FROM spine s LEFT JOIN bins a ON a.w = 'base' AND a.c = s.c AND a.bin = s.bin LEFT JOIN bins b ON b.w = 'batch' AND b.c = s.c AND b.bin = s.bin JOIN t ta ON ta.w = 'base' AND ta.c = s.c JOIN t tb ON tb.w = 'batch' AND tb.c = s.c)
-    SELECT c AS indicator, {r6('sum((q - p) * ln(q / p))', 'psi')} FROM pq GROUP BY c""")
+_PSI = f"""spine AS (SELECT c, unnest(range(0, len(cuts) + 1)) AS bin FROM cuts), t AS (SELECT w, c, sum(n) AS t FROM bins GROUP BY ALL),
+    pq AS (SELECT s.c, greatest(coalesce(a.n, 0) / ta.t, 1e-4) AS p, greatest(coalesce(b.n, 0) / tb.t, 1e-4) AS q FROM spine s LEFT JOIN bins a ON a.w = 'base' AND a.c = s.c AND a.bin = s.bin LEFT JOIN bins b ON b.w = 'batch' AND b.c = s.c AND b.bin = s.bin JOIN t ta ON ta.w = 'base' AND ta.c = s.c JOIN t tb ON tb.w = 'batch' AND tb.c = s.c),
+    psi AS (SELECT c, sum((q - p) * ln(q / p)) AS psi FROM pq GROUP BY c)"""
+
+
+@query(f"WITH {_MONITOR}, {_PSI} SELECT c AS indicator, {r6('psi', 'psi')} FROM psi")
 def monitor_psi(spark: SparkSession, d: str) -> DataFrame:
     base, batch = _monitored(spark, d)
     found = monitor.monitor_batch(base, batch, score="l_tax", outcome="l_linestatus", key=LINE_KEY)
     return rows(spark, [*found["indicator_drift"].details, {"indicator": "l_tax", "psi": found["score_drift"].metrics["psi"]}], "indicator string, psi double")
 
 
-@query()
+def _graded(value: str, warning: float, failure: float) -> str:
+    return f"CASE WHEN {value} >= {failure} THEN 'failure' WHEN {value} >= {warning} THEN 'warning' ELSE 'informational' END"
+
+
+@query(f"""WITH {_MONITOR}, {_PSI},
+    own AS (SELECT 'base' AS w, l_tax AS v, (l_linestatus = 'O')::INT AS y FROM lineitem WHERE year(l_shipdate) <= 1996 UNION ALL SELECT 'batch', l_tax, (l_linestatus = 'O')::INT FROM lineitem WHERE year(l_shipdate) = 2000),
+    areas AS (SELECT w, {auc_sql()} AS auc FROM (SELECT *, {midrank_sql('v', 'w')} AS mr FROM own) GROUP BY w),
+    e AS (SELECT max(greatest(auc, 1 - auc)) FILTER (w = 'base') AS old, max(greatest(auc, 1 - auc)) FILTER (w = 'batch') AS new FROM areas),
+    v AS (SELECT (SELECT count(*) FROM batch) AS n, (SELECT count(*) FROM batch) / (SELECT count(*) FROM base) AS share),
+    gone AS (SELECT max(b) AS new, max(b - a) AS more FROM ({' UNION ALL '.join(f"SELECT (SELECT avg(({c} IS NULL)::INT) FROM base) AS a, (SELECT avg(({c} IS NULL)::INT) FROM batch) AS b" for c in LINE[:3])}))
+    SELECT 'schema' AS "check", 'informational' AS state, 'the columns match' AS summary
+    UNION ALL SELECT 'volume', CASE WHEN share < 0.1 OR share > 10 THEN 'failure' WHEN share < 0.5 OR share > 2 THEN 'warning' ELSE 'informational' END, printf('%d rows, %.2f of the baseline', n, share) FROM v
+    UNION ALL SELECT 'score_drift', {_graded('psi', 0.1, 0.25)}, printf('PSI %.3f', psi) FROM psi WHERE c = 'l_tax'
+    UNION ALL SELECT 'indicator_drift', {_graded('max(psi)', 0.1, 0.25)}, printf('largest PSI %.3f', max(psi)) FROM psi WHERE c <> 'l_tax'
+    UNION ALL SELECT 'missingness', CASE WHEN new > 0.2 THEN 'failure' WHEN more >= 0.05 THEN 'warning' ELSE 'informational' END, printf('largest rate %.3f', new) FROM gone
+    UNION ALL SELECT 'outcome_performance', CASE WHEN new < 0.55 OR old - new >= 0.1 THEN 'failure' WHEN new < 0.65 OR old - new >= 0.05 THEN 'warning' ELSE 'informational' END, printf('oriented AUC %.3f', new) FROM e""")
 def monitor_states(spark: SparkSession, d: str) -> DataFrame:
     base, batch = _monitored(spark, d)
     found = monitor.monitor_batch(base, batch, score="l_tax", outcome="l_linestatus", key=LINE_KEY)
@@ -585,7 +619,12 @@ def score_audit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c.name, c.status.value, c.summary) for c in report.checks], "check string, status string, summary string")
 
 
-@query()
+_STATES = "CASE WHEN n = 0 OR p = 0 OR p = n OR n < 30 OR least(p, n - p) < 10 THEN 'skip' WHEN effect < 0.55 THEN 'fail' WHEN effect < 0.65 THEN 'warn' ELSE 'pass' END AS downstream_status, CASE WHEN n < 10 OR p = 0 OR p = n THEN 'skip' WHEN effect >= 0.9 THEN 'fail' ELSE 'pass' END AS leakage_status"
+
+
+@query(f"""WITH {SCORED}, long AS (SELECT 'quality' AS outcome, 'required' AS importance, n_chars AS v, quality AS y FROM scored UNION ALL SELECT 'toxic', 'supporting', n_chars, toxic FROM scored),
+    r AS (SELECT outcome, y, {midrank_sql('v', 'outcome')} AS mr FROM long WHERE v IS NOT NULL AND y IS NOT NULL), a AS (SELECT outcome, count(*) AS n, sum(y) AS p, {auc_sql()} AS auc FROM r GROUP BY outcome), e AS (SELECT *, greatest(auc, 1 - auc) AS effect FROM a)
+    SELECT outcome, importance, 'binary' AS outcome_type, (SELECT count(*) FROM scored) AS input_rows, (SELECT count(*) FROM scored) AS mature_rows, n AS evaluation_rows, {_STATES} FROM e JOIN (SELECT DISTINCT outcome, importance FROM long) USING (outcome)""")  # a fifth of the score as indicator has the score's own area
 def multi_outcome(spark: SparkSession, d: str) -> DataFrame:
     df = scored_docs(spark, d).withColumn("size", F.col("n_chars") / F.lit(5.0))
     report = validate_outcomes(df, "n_chars", ["size"], {"quality": OutcomeSpec("quality", "binary"), "toxic": OutcomeSpec("toxic", "binary", importance="supporting")})
