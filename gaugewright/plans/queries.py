@@ -613,7 +613,47 @@ def survival_brier(spark: SparkSession, d: str) -> DataFrame:
 # --- models and whole audits --------------------------------------------------------------------
 
 
-@query()
+def _audit_sql() -> str:
+    a, b, c = LINE[:3]
+    of = {x: [o for o in LINE[:3] if o != x] for x in LINE[:3]}
+    r = lambda x, o: f"r_{min(x, o)}_{max(x, o)}"
+    pairs = [(a, b), (a, c), (b, c)]
+    z = ", ".join(f"({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER () AS z_{x}" for x in of)
+    numbers = [f"corr({x}, {o}) AS {r(x, o)}" for x, o in pairs] + [f"corr({x}, (z_{o} + z_{q}) / 2) AS rest_{x}, stddev_pop({x}) AS std_{x}, avg(({x} IS NULL)::INT) AS gone_{x}, abs(corr({x}, v)) AS close_{x}" for x, (o, q) in of.items()]
+    notes = []
+    for i, (x, (o, q)) in enumerate(of.items()):
+        vif = f"1 / (1 - ({r(x, o)} ** 2 + {r(x, q)} ** 2 - 2 * {r(x, o)} * {r(x, q)} * {r(o, q)}) / (1 - {r(o, q)} ** 2))"
+        notes += [(i, True, f"std_{x} = 0", f"'{x} is constant'"), (10 + 3 * i, False, f"gone_{x} > 0.2", f"printf('{x} is missing in %.1f%% of rows', 100 * gone_{x})"), (11 + 3 * i, False, f"abs(rest_{x}) < 0.1", f"printf('{x} hardly agrees with the others (%.2f)', rest_{x})"), (12 + 3 * i, False, f"{vif} > 10", f"printf('{x} has a variance inflation of %.1f', {vif})")]
+        notes.append((50 + i, False, f"close_{x} >= 0.95", f"printf('{x} alone nearly is the score (%.2f)', close_{x})"))
+    alpha = f"1.5 * (1 - 3 / (3 + 2 * ({' + '.join(r(x, o) for x, o in pairs)})))"
+    notes.append((30, False, f"{alpha} < 0.7", f"printf('alpha is %.2f', {alpha})"))
+    notes += [(40 + i, False, f"abs({r(x, o)}) >= 0.9", f"printf('{x} and {o} correlate at %.2f', {r(x, o)})") for i, (x, o) in enumerate(pairs)]
+    found = " UNION ALL ".join(f"SELECT {k} AS k, {bad} AS bad, CASE WHEN {when} THEN {text} END AS note FROM num" for k, bad, when, text in notes)
+    verdict = "CASE WHEN count(note) FILTER (bad) > 0 THEN 'fail' WHEN count(note) > 0 THEN 'warn' ELSE 'pass' END"
+    deciles = ", ".join(str(min(1.0, k * 0.1)) for k in range(11))
+    return f"""WITH l AS (SELECT {a}, {b}, {c}, l_tax AS v, (l_linestatus = 'O')::INT AS y, l_returnflag AS s, year(l_shipdate)::INT AS yr FROM lineitem), z AS (SELECT *, {z} FROM l), num AS (SELECT {', '.join(numbers)} FROM z), notes AS ({found}),
+    cuts AS (SELECT list_sort(list_distinct(quantile_cont(v, [{deciles}])))[2:-2] AS c FROM l WHERE yr = (SELECT min(yr) FROM l)), bins AS (SELECT yr, len(list_filter(c, lambda x: x <= v)) AS bin, count(*) AS n FROM l, cuts GROUP BY ALL), t AS (SELECT yr, sum(n) AS t FROM bins GROUP BY yr),
+    base AS (SELECT bin, n / sum(n) OVER () AS p FROM bins WHERE yr = (SELECT min(yr) FROM l)), spine AS (SELECT yr, t, unnest(range(0, (SELECT len(c) + 1 FROM cuts))) AS bin FROM t WHERE yr > (SELECT min(yr) FROM l)),
+    pq AS (SELECT s.yr, s.t, greatest(coalesce(p, 0), 1e-4) AS p, greatest(coalesce(n, 0) / s.t, 1e-4) AS q FROM spine s LEFT JOIN bins x ON x.yr = s.yr AND x.bin = s.bin LEFT JOIN base ON base.bin = s.bin),
+    psi AS (SELECT yr, sum((q - p) * ln(q / p)) AS psi FROM pq GROUP BY yr HAVING any_value(t) >= 50), top AS (SELECT max(psi) AS psi, arg_max(yr, psi) AS yr FROM psi),
+    whole AS (SELECT {auc_sql()} AS auc FROM (SELECT y, {midrank_sql('v')} AS mr FROM l)),
+    leaks AS (SELECT name, greatest(auc, 1 - auc) >= 0.9 AS leak FROM (SELECT name, {auc_sql()} AS auc FROM (SELECT name, y, {midrank_sql('x', 'name')} AS mr FROM ({' UNION ALL '.join(f"SELECT '{x}' AS name, y, {x} AS x FROM l" for x in of)})) GROUP BY name)),
+    levels AS (SELECT s, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM l GROUP BY s), pooled AS (SELECT *, sqrt(sum((n - 1) * sd * sd) OVER () / (sum(n) OVER () - count(*) OVER ())) AS w, (sum(n * m) OVER () - n * m) / (sum(n) OVER () - n) AS rest FROM levels),
+    valid AS (SELECT s, sum(y) AS p, count(*) AS n, {auc_sql()} AS auc FROM (SELECT s, y, {midrank_sql('v', 's')} AS mr FROM l) GROUP BY s),
+    seg AS (SELECT s, n, abs((m - rest) / w) AS smd, n >= 30 AS large, n >= 30 AND least(p, n - p) >= 10 AS fair, CASE WHEN (SELECT auc FROM whole) < 0.5 THEN 1 - auc ELSE auc END AS validity FROM pooled JOIN valid USING (s, n)),
+    marks AS (SELECT 'a' || s AS k, TRUE AS bad, CASE WHEN fair AND validity <= 0.5 THEN 'the score doesn''t work in ' || s END AS note FROM seg
+        UNION ALL SELECT 'b0', FALSE, CASE WHEN bool_and(large) THEN NULL ELSE printf('%d segments are small', count(*) FILTER (NOT large)) END FROM seg
+        UNION ALL SELECT 'b1', FALSE, CASE WHEN max(smd) FILTER (large) > 0.5 THEN printf('score levels differ by up to %.2f standard deviations', max(smd) FILTER (large)) END FROM seg
+        UNION ALL SELECT 'b2', FALSE, CASE WHEN count(*) FILTER (large AND NOT fair) > 0 THEN printf('validity can''t be assessed in %d segments', count(*) FILTER (large AND NOT fair)) END FROM seg
+        UNION ALL SELECT 'b3', FALSE, CASE WHEN count(*) FILTER (fair) < 2 THEN 'fewer than two segments can be compared' WHEN max(validity) FILTER (fair) - min(validity) FILTER (fair) > 0.1 THEN printf('validity differs by %.2f between segments', max(validity) FILTER (fair) - min(validity) FILTER (fair)) END FROM seg)
+    SELECT 'indicators' AS "check", {verdict} AS status, coalesce(string_agg(note, '; ' ORDER BY bad DESC, k), 'the indicators are sound') AS summary FROM notes
+    UNION ALL SELECT 'stability', CASE WHEN psi >= 0.25 THEN 'fail' WHEN psi >= 0.1 THEN 'warn' ELSE 'pass' END, printf('the largest shift is %.3f, in %d', psi, yr) FROM top
+    UNION ALL SELECT 'downstream', CASE WHEN greatest(auc, 1 - auc) < 0.55 THEN 'fail' WHEN greatest(auc, 1 - auc) < 0.65 THEN 'warn' ELSE 'pass' END, printf('oriented AUC %.3f', greatest(auc, 1 - auc)) FROM whole
+    UNION ALL SELECT 'leakage', CASE WHEN bool_or(leak) THEN 'fail' ELSE 'pass' END, coalesce('too close to the outcome: ' || string_agg(name, ', ' ORDER BY name) FILTER (leak), 'no sign of leakage') FROM leaks
+    UNION ALL SELECT 'segments', {verdict}, coalesce(string_agg(note, '; ' ORDER BY bad DESC, k), 'segments agree') FROM marks"""
+
+
+@query(_audit_sql())
 def score_audit(spark: SparkSession, d: str) -> DataFrame:
     report = ScoreAudit(line(spark, d), LINE[:3], "l_tax", "l_linestatus", "l_returnflag", "yr", Thresholds(max_audit_rows=None)).run()
     return spark.createDataFrame([(c.name, c.status.value, c.summary) for c in report.checks], "check string, status string, summary string")
