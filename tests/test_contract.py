@@ -21,7 +21,7 @@ def test_every_sql_has_a_query():
     assert set(own.ORACLE_SQL) <= set(own.QUERIES) and len(own.ORACLE_SQL) > 35
 
 
-@pytest.mark.parametrize("name", ["downstream_validity", "psi_over_time", "align_first", "survival_concordance", "actions_continuous", "actions_recommend", "lift_bands_ascending", "downstream_continuous", "indicator_dominance", "group_moments", "pca_of_two", "align_lags", "calibration_isotonic", "compare_action_changes"])
+@pytest.mark.parametrize("name", ["downstream_validity", "psi_over_time", "align_first", "survival_concordance", "actions_continuous", "actions_recommend", "lift_bands_ascending", "downstream_continuous", "indicator_dominance", "group_moments", "pca_of_two", "align_lags", "calibration_isotonic", "compare_action_changes", "compare_coverage", "compare_scores_difference", "compare_scores_continuous", "monitor_states", "multi_outcome", "score_audit"])
 def test_some_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     data = "/root/testdata/sf0.001"
