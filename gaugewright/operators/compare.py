@@ -126,7 +126,7 @@ def compare_scores(
     action_top_n: Sequence[int] = (),
     thresholds: Thresholds | None = None,
 ) -> ScoreComparison:
-    """Compare on the entities of both versions whose scores and outcome are present. Everything derives from one written frame of pairs."""
+    """Compare on the entities of both versions whose scores and outcome are present. Everything but the coverage derives from one written frame of the overlap."""
     if baseline_name == candidate_name:
         raise ValueError("the versions need different names")
     if not 0 < confidence_level < 1:
@@ -140,11 +140,12 @@ def compare_scores(
     require_columns(outcomes, [*key, outcome, *extras])
     covered = coverage(baseline, candidate, outcomes, key, (baseline_score, candidate_score), outcome).first().asDict()
     overlap = baseline.select(*key, F.col(baseline_score).alias("baseline")).join(candidate.select(*key, F.col(candidate_score).alias("candidate")), key).join(outcomes.select(*key, F.col(outcome).alias("_outcome"), *extras), key, "left")
+    overlap = materialize(overlap, "compare-overlap")
     full = overlap.where("baseline IS NOT NULL AND candidate IS NOT NULL AND _outcome IS NOT NULL")
     kind = outcome_kind(full, "_outcome")
     if kind.n < 3 or kind.kind == "constant":
         raise ValueError("fewer than three complete pairs, or an outcome that doesn't vary")
-    pairs = materialize(full.withColumn("y", kind.encoded(F.col("_outcome"))).drop("_outcome"), "compare-pairs")
+    pairs = full.withColumn("y", kind.encoded(F.col("_outcome"))).drop("_outcome")
     spread = pairs.agg(*[(F.max(c) > F.min(c)).alias(c) for c in ("baseline", "candidate")]).first()
     if not (spread["baseline"] and spread["candidate"]):
         raise ValueError("a version's scores don't vary")
